@@ -34,11 +34,11 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def write_shared(df: DataFrame, name: str) -> DataFrame:
+def write_shared(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

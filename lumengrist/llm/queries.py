@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, packing, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_token_files": token_files.op2_token_files,
+    "op3_packing": packing.op3_packing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 ORACLES = {
