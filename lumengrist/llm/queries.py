@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, token_files
+from . import exact_dedup, line_dedup, mixing, packing, token_files
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_token_files": token_files.op2_token_files,
     "op3_packing": packing.op3_packing,
+    "op4_mixing": mixing.op4_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
 }
