@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, mixing, packing, token_files
+from . import exact_dedup, language_id, line_dedup, mixing, packing, token_files, topk_search
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_language_id": language_id.op9_language_id,
+    "op10_topk_search": topk_search.op10_topk_search,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op7_line_dedup": line_dedup.ORACLE,
+    "op10_topk_search": topk_search.ORACLE,
 }
