@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, mixing, packing, token_files, topk_search
+from . import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, token_files, topk_search
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_mixing": mixing.op4_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_topk_search": topk_search.op10_topk_search,
 }
