@@ -1,10 +1,406 @@
-"""The engine's queries and their SQL, by name."""
+"""The engine's queries, by name. Each takes (spark, sf_dir) and runs over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..constants import DIGITS, STOP_WORDS
+from ..functions import text as T
+from ..functions.segment import segment
+from ..operators import codec, fingerprint, index, kwic, recommend
+from ..operators import search as S
+from ..sources import rss, stores
+from ..sources.shared import built, shared_root, write_shared
+from ..streaming import service
+from .oracles import CJK_WORDS, ORACLES, SEARCHES, SUGGEST_FOR  # noqa: F401
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+CJK_TEXTS = [(1, "人工智能和机器学习"), (2, "深度学习 GPT 应用"), (3, "机器翻译")]
+CJK_DICTIONARY = {"人工智能": 50, "人工": 20, "机器学习": 40, "机器": 20, "学习": 30, "深度学习": 35, "翻译": 10, "机器翻译": 9, "应用": 10, "和": 100}
+LINES = ["  /k abc ", "/s abc", "abc", "/k", "/x", "", "/k  abc", "/help", "/quit", "\t/s a b\t"]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, link, title, content) of documents."""
+    empty = F.lit("")
+    return read(spark, sf_dir, "documents").select("doc_id", empty.alias("link"), empty.alias("title"), F.coalesce("text", empty).alias("content"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rss.page_documents(read(spark, sf_dir, "pages"))
+
+
+def stop_words(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in STOP_WORDS], "term string")
+
+
+def tf(spark, sf_dir):
+    return built(spark, ("tf", sf_dir), lambda: index.term_frequencies(index.tokens(documents(spark, sf_dir))))
+
+
+def postings(spark, sf_dir):
+    """Dealt by range of terms and sorted, so that a query's terms prune row groups."""
+    return built(spark, ("postings", sf_dir), lambda: index.postings(documents(spark, sf_dir), tf(spark, sf_dir)).repartitionByRange("term").sortWithinPartitions("term", "doc_id"))
+
+
+def dictionary(spark, sf_dir):
+    return built(spark, ("dictionary", sf_dir), lambda: index.dictionary(index.tokens(documents(spark, sf_dir))))
+
+
+def char_index(spark, sf_dir):
+    return built(spark, ("chars", sf_dir), lambda: index.char_index(dictionary(spark, sf_dir)))
+
+
+def fps(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return built(spark, ("fingerprints", sf_dir), lambda: fingerprint.fingerprints(docs, fingerprint.top_terms(docs, tf(spark, sf_dir))))
+
+
+def searches(spark, which=None) -> DataFrame:
+    return spark.createDataFrame([q for q in SEARCHES if which is None or q[0] in which], "query_id long, text string").coalesce(1)
+
+
+def asked(spark) -> DataFrame:
+    return spark.createDataFrame(SUGGEST_FOR, "query_id long, text string").coalesce(1)
+
+
+def _found(spark, sf_dir, which=None) -> DataFrame:
+    return S.search(searches(spark, which), postings(spark, sf_dir))
+
+
+def _bodies(spark, sf_dir, which=None) -> DataFrame:
+    return S.fetched(_found(spark, sf_dir, which), documents(spark, sf_dir))
+
+
+def _answers(queries: DataFrame, spark, sf_dir) -> DataFrame:
+    body = S.fetched(S.search(queries, postings(spark, sf_dir)), documents(spark, sf_dir))
+    snippets = kwic.abstracts(body, S.query_keywords(queries))
+    return body.join(snippets, ["query_id", "doc_id"]).select("query_id", "rank", "doc_id", "score", "title", "link", "abstract")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked pages with snippets for all searches."""
+    return _answers(searches(spark), spark, sf_dir)
+
+
+def text_strip_tags(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", T.strip_tags(F.col("html")).alias("content"))
+
+
+def page_extract(spark, sf_dir):
+    return pages(spark, sf_dir)
+
+
+def tokenize_ascii(spark, sf_dir):
+    return index.tokens(documents(spark, sf_dir)).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+def token_stopword_anti(spark, sf_dir):
+    return index.tokens(documents(spark, sf_dir), stop_words=stop_words(spark)).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+def cjk_filter(spark, sf_dir):
+    return spark.createDataFrame(CJK_WORDS, "id long, word string").where(T.is_cjk(F.col("word")))
+
+
+def char_explode(spark, sf_dir):
+    words = spark.createDataFrame(CJK_WORDS, "id long, word string")
+    return words.select("id", F.posexplode(T.characters(F.col("word"))).alias("pos", "ch")).select("id", F.col("pos").cast("long").alias("pos"), "ch")
+
+
+def tokenize_cjk(spark, sf_dir):
+    texts = spark.createDataFrame(CJK_TEXTS, "id long, text string")
+    return texts.select("id", F.posexplode(segment(F.col("text"), CJK_DICTIONARY)).alias("pos", "word"))
+
+
+def _rss_files(spark, sf_dir) -> DataFrame:
+    """Pages as RSS texts of one item each; every fifth has no content but a description, every seventh neither."""
+    esc = F.replace(F.replace(F.replace(F.col("html"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    link = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    body = F.when(F.col("page_id") % 7 == 0, "").when(F.col("page_id") % 5 == 0, F.concat(F.lit("<description>"), esc, F.lit("</description>"))).otherwise(F.concat(F.lit("<content>"), esc, F.lit("</content>")))
+    xml = F.concat(F.lit("<rss><channel><item><title>&lt;b&gt;T"), F.col("page_id").cast("string"), F.lit("</title><link>"), link, F.lit("</link>"), body, F.lit("</item></channel></rss>"))
+    return read(spark, sf_dir, "pages").select(F.lpad(F.col("page_id").cast("string"), 12, "0").alias("path"), xml.alias("value"))
+
+
+def rss_items(spark, sf_dir):
+    return rss.rss_items(_rss_files(spark, sf_dir)).select("path", "link", "title", F.md5("content").alias("content_md5"))
+
+
+def dict_freq(spark, sf_dir):
+    return dictionary(spark, sf_dir).select("term", "freq")
+
+
+def dict_line_num(spark, sf_dir):
+    return dictionary(spark, sf_dir).select("line_num", "term")
+
+
+def char_index_query(spark, sf_dir):
+    return char_index(spark, sf_dir)
+
+
+def page_offsets(spark, sf_dir):
+    return stores.page_store(documents(spark, sf_dir)).select("doc_id", "offset", "length")
+
+
+def index_export(spark, sf_dir):
+    """Lines of the index as sizes and ids, whose text needs no number formatting to compare; the weights go to index_import."""
+    lines = stores.index_lines(postings(spark, sf_dir))
+    ids = F.transform(F.filter(F.split("line", " "), lambda x, i: i % 2 == 1), lambda x: x)
+    return lines.select("term", F.array_join(ids, " ").alias("ids"))
+
+
+def dict_export(spark, sf_dir):
+    return stores.dictionary_lines(dictionary(spark, sf_dir))
+
+
+def char_index_export(spark, sf_dir):
+    return stores.char_index_lines(char_index(spark, sf_dir))
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    return f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def index_import(spark, sf_dir):
+    stores.write_lines(stores.index_lines(postings(spark, sf_dir)), ["term"], path := _folder(spark, "index"))
+    return stores.read_index(spark, path).select("term", "doc_id", F.round("weight", 4).alias("weight"))
+
+
+def dict_import(spark, sf_dir):
+    stores.write_lines(stores.dictionary_lines(dictionary(spark, sf_dir)), ["line_num"], path := _folder(spark, "dict"))
+    return stores.read_dictionary(spark, path)
+
+
+def dict_max_freq(spark, sf_dir):
+    return stores.max_frequency(dictionary(spark, sf_dir))
+
+
+def char_index_import(spark, sf_dir):
+    stores.write_lines(stores.char_index_lines(char_index(spark, sf_dir)), ["ch"], path := _folder(spark, "chars"))
+    return stores.read_char_index(spark, path)
+
+
+def offsets_import(spark, sf_dir):
+    lines = page_offsets(spark, sf_dir).select("doc_id", F.concat_ws(" ", "doc_id", "offset", "length").alias("line"))
+    stores.write_lines(lines, ["doc_id"], path := _folder(spark, "offsets"))
+    return stores.read_offsets(spark, path)
+
+
+def doc_len(spark, sf_dir):
+    return index.document_lengths(tf(spark, sf_dir))
+
+
+def corpus_stats(spark, sf_dir):
+    stats = index.corpus_statistics(documents(spark, sf_dir), index.document_lengths(tf(spark, sf_dir)))
+    return stats.select("n_docs", F.round("avgdl", DIGITS).alias("avgdl"))
+
+
+def term_idf(spark, sf_dir):
+    df = index.document_frequencies(tf(spark, sf_dir))
+    n = documents(spark, sf_dir).agg(F.count("*").alias("n_docs"))
+    return df.join(F.broadcast(n)).select("term", "df", F.round(index.idf(F.col("n_docs"), F.col("df")), DIGITS).alias("idf"))
+
+
+def bm25_postings(spark, sf_dir):
+    return postings(spark, sf_dir).select("term", "doc_id", "tf", F.round("weight", DIGITS).alias("weight"))
+
+
+def simhash_topn(spark, sf_dir):
+    top = fingerprint.top_terms(documents(spark, sf_dir), tf(spark, sf_dir))
+    return top.select("doc_id", F.col("rank").cast("long").alias("rank"), "term", "tf")
+
+
+def simhash_fp(spark, sf_dir):
+    return fps(spark, sf_dir)
+
+
+def simhash_blocks(spark, sf_dir):
+    return fingerprint.blocks(fps(spark, sf_dir)).select("doc_id", F.col("block_no").cast("long").alias("block_no"), "block_val")
+
+
+def dup_candidates(spark, sf_dir):
+    return fingerprint.block_candidates(fps(spark, sf_dir))
+
+
+def dup_pairs(spark, sf_dir):
+    return fingerprint.duplicate_pairs(fps(spark, sf_dir))
+
+
+def dedup_greedy(spark, sf_dir):
+    return fingerprint.deduplicated(documents(spark, sf_dir), fps(spark, sf_dir)).select("new_id", "doc_id")
+
+
+def query_keywords(spark, sf_dir):
+    return S.query_keywords(searches(spark))
+
+
+def search_scores(spark, sf_dir):
+    return S.scores(S.query_keywords(searches(spark)), postings(spark, sf_dir))
+
+
+def search_progressive(spark, sf_dir):
+    return _found(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "matches", "score")
+
+
+def _one(*ids):
+    return lambda spark, sf_dir: _found(spark, sf_dir, ids).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "matches", "score")
+
+
+def search_stopwords(spark, sf_dir):
+    found = S.search(searches(spark), postings(spark, sf_dir), stop_words=stop_words(spark))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "matches", "score")
+
+
+def kwic_hits(spark, sf_dir):
+    return kwic.windows(_bodies(spark, sf_dir), S.query_keywords(searches(spark))).select("query_id", "doc_id", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
+
+
+def _spans(df):
+    return df.select("query_id", "doc_id", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"), F.col("hits").cast("long").alias("hits"))
+
+
+def kwic_merged(spark, sf_dir):
+    return _spans(kwic.merged(kwic.windows(_bodies(spark, sf_dir), S.query_keywords(searches(spark)))))
+
+
+def kwic_best(spark, sf_dir):
+    return _spans(kwic.best(kwic.merged(kwic.windows(_bodies(spark, sf_dir), S.query_keywords(searches(spark))))))
+
+
+def kwic_abstract(spark, sf_dir):
+    return kwic.abstracts(_bodies(spark, sf_dir), S.query_keywords(searches(spark)))
+
+
+def kwic_fallback(spark, sf_dir):
+    """Snippets of all documents for a keyword that none holds."""
+    asked_for = spark.createDataFrame([(1, "zzzunknown")], "query_id long, term string")
+    docs = documents(spark, sf_dir).select(F.lit(1).cast("long").alias("query_id"), "doc_id", "content")
+    return kwic.abstracts(docs, asked_for).select("doc_id", "abstract")
+
+
+def search_pages(spark, sf_dir):
+    return flagship(spark, sf_dir).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "title", "link", "abstract")
+
+
+def search_pages_json(spark, sf_dir):
+    return codec.pages_json(flagship(spark, sf_dir))
+
+
+def recall_char(spark, sf_dir):
+    return recommend.recall_by_characters(asked(spark), char_index(spark, sf_dir))
+
+
+def recall_prefix(spark, sf_dir):
+    return recommend.recall_by_prefix(asked(spark), dictionary(spark, sf_dir))
+
+
+def recall_union(spark, sf_dir):
+    return recommend.recall(asked(spark), dictionary(spark, sf_dir), char_index(spark, sf_dir))
+
+
+def _near(spark, sf_dir):
+    return built(spark, ("near-terms", sf_dir), lambda: recommend.near_terms(asked(spark), recall_union(spark, sf_dir), dictionary(spark, sf_dir)))
+
+
+def edit_prune(spark, sf_dir):
+    return _near(spark, sf_dir).select("query_id", "term", F.col("distance").cast("long").alias("distance"))
+
+
+def jaccard_docs(spark, sf_dir):
+    return recommend.jaccard(_near(spark, sf_dir), postings(spark, sf_dir)).select("query_id", "term", F.round("jaccard", DIGITS).alias("jaccard"))
+
+
+def _scored(spark, sf_dir):
+    return recommend.scored(_near(spark, sf_dir), postings(spark, sf_dir), stores.max_frequency(dictionary(spark, sf_dir)))
+
+
+def freq_score(spark, sf_dir):
+    most = F.broadcast(stores.max_frequency(dictionary(spark, sf_dir)))
+    return dictionary(spark, sf_dir).join(most).select("term", F.round(recommend.frequency_score(F.col("freq"), F.col("max_freq")), DIGITS).alias("freq_score"))
+
+
+def hybrid_score(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+def recommend_topk(spark, sf_dir):
+    return recommend.top_terms(_scored(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "term", "score")
+
+
+def recommend_json(spark, sf_dir):
+    return codec.words_json(recommend.top_terms(_scored(spark, sf_dir)))
+
+
+def tlv_encode(spark, sf_dir):
+    texts = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return texts.select("conv_id", "turn", F.hex(codec.encode(F.lit(1), F.coalesce("text", F.lit("")))).alias("frame"))
+
+
+def _streams(spark, sf_dir):
+    """A connection for each conversation: its turns as messages in a row, and five bytes of one that never ends."""
+    turns = read(spark, sf_dir, "conversations")
+    one = codec.encode(F.when(F.col("role") == "user", 0).otherwise(1), F.coalesce("text", F.lit("")))
+    lists = turns.groupBy(F.col("conv_id").alias("conn_id")).agg(F.sort_array(F.collect_list(F.struct("turn", F.hex(one).alias("f")))).alias("t"))
+    return lists.select("conn_id", F.unhex(F.concat(F.array_join("t.f", ""), F.lit("0000000100"))).alias("data"))
+
+
+def tlv_decode(spark, sf_dir):
+    return codec.decode(_streams(spark, sf_dir)).select("conn_id", "type", "length", F.md5("value").alias("value_md5"))
+
+
+def request_dispatch(spark, sf_dir):
+    return codec.requests(codec.decode(_streams(spark, sf_dir))).select("conn_id", "type", "response_type", F.md5("text").alias("text_md5"))
+
+
+def client_command(spark, sf_dir):
+    return codec.commands(spark.createDataFrame([(x,) for x in LINES], "line string"))
+
+
+def stream_messages(spark, sf_dir):
+    """The messages of all connections, whose bytes come in two chunks each, put together by the stateful stream."""
+    whole = _streams(spark, sf_dir).withColumn("cut", F.floor(F.octet_length("data") / 2).cast("int"))
+    halves = [whole.select("conn_id", F.lit(n).cast("long").alias("seq"), F.expr(e).alias("data")) for n, e in ((0, "substring(data, 1, cut)"), (1, "substring(data, cut + 1)"))]
+    chunks = write_shared(halves[0].union(halves[1]), "chunks")
+    source = spark.readStream.schema(chunks.schema).parquet(chunks.inputFiles()[0].rsplit("/", 1)[0])
+    path, checkpoint = _folder(spark, "messages"), _folder(spark, "messages-checkpoint")
+    service.messages(source).writeStream.option("checkpointLocation", checkpoint).option("path", path).format("parquet").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("conn_id", "type", F.md5("value").alias("value_md5"))
+
+
+def stream_search(spark, sf_dir):
+    """The searches as a stream of requests, answered in batches against the index."""
+    requests = write_shared(searches(spark), "requests")
+    source = spark.readStream.schema(requests.schema).parquet(requests.inputFiles()[0].rsplit("/", 1)[0])
+    return service.answer_all(source, lambda rows: _answers(rows, spark, sf_dir), _folder(spark, "answers"), _folder(spark, "answers-checkpoint")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "abstract")
+
+
+def ext_cooccur_recall(spark, sf_dir):
+    return recommend.recall_by_cooccurrence(asked(spark), postings(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "term", "common")
+
+
+def ext_search_pages_multilang(spark, sf_dir):
+    """Search over pages with words of any script: runs of letters, lower-cased."""
+    words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}]+", " ")), " "), lambda w: w != "")
+    docs = pages(spark, sf_dir)
+    tf_ = write_shared(index.term_frequencies(index.tokens(docs, words)), "page-tf")
+    own = built(spark, ("page-postings", sf_dir), lambda: index.postings(docs, tf_))
+    return S.search(searches(spark), own, words).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "matches", "score")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        text_strip_tags, page_extract, tokenize_ascii, token_stopword_anti, cjk_filter, char_explode, tokenize_cjk, rss_items, dict_freq, dict_line_num,
+        page_offsets, index_export, dict_export, char_index_export, index_import, dict_import, dict_max_freq, char_index_import, offsets_import, doc_len, corpus_stats,
+        term_idf, bm25_postings, simhash_topn, simhash_fp, simhash_blocks, dup_candidates, dup_pairs, dedup_greedy, query_keywords, search_scores, search_progressive,
+        search_stopwords, kwic_hits, kwic_merged, kwic_best, kwic_abstract, kwic_fallback, search_pages, search_pages_json, recall_char, recall_prefix, recall_union,
+        edit_prune, jaccard_docs, freq_score, hybrid_score, recommend_topk, recommend_json, tlv_encode, tlv_decode, request_dispatch, client_command, stream_messages,
+        stream_search, ext_cooccur_recall, ext_search_pages_multilang,
+    )
+} | {"char_index": char_index_query, "search_and": _one(1), "search_60": _one(2, 4), "search_or": _one(3), "search_empty": _one(6)}
