@@ -39,22 +39,29 @@ _32, _29 = np.uint64(32), np.uint64(29)
 _ORDERS = [0, 0x2AAAAAAAAAAAAAAA, 0x1234567812345678, 0x33333333CCCCCCCC, 0x0F0F0F0F0F0F0F0F, 0x5A5A5A5A5A5A5A5A]
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash; forgets all when full."""
+class _Words(dict):
+    """Word -> its place in `hashes`, an array of 64-bit hashes; forgets all between texts when full."""
+
+    def __init__(self, limit: int = 200_000):
+        self.limit, self.hashes = limit, np.zeros(2 * limit, np.uint64)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        at = self[word] = len(self)
+        if at >= len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
+        self.hashes[at] = xxhash.xxh3_64_intdigest(word)
+        return at
 
 
-_HASHES = _Hashes()
+_WORDS = _Words()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     words = WORDS.findall((text or "").lower()) or (text or "").split()
-    return np.array([_HASHES[w] for w in words], np.uint64)
+    if len(_WORDS) > _WORDS.limit:
+        _WORDS.clear()
+    at = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+    return _WORDS.hashes[at]
 
 
 def shingles(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
