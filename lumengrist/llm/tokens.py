@@ -20,6 +20,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: For RE2, in which \\s is ASCII: white space other than blank and line break, or any at an end or beside another; or no text.
 _UNEVEN = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]|\\A\\z"
+_MARK_SET = frozenset(_MARKS)
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
@@ -31,7 +32,7 @@ class Encoder:
     the ids of short pieces are kept. Two generations of `limit` pieces bound the memory.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,27 +67,28 @@ class Encoder:
         lacking = [i for i, g in enumerate(got) if g is None]
         if not lacking:
             return got
-        halves, asked = [], set()
+        asked, find = {}, old.get
         for i in lacking:
             p = pieces[i]
-            if (known := old.get(p)) is not None:
-                young[p] = got[i] = known
-            elif (word := p.rstrip(_MARKS)) != p and word.lstrip(" ").isalpha():
-                halves.append((i, word, marks := p[len(word) :]))
-                asked.add(word)
-                asked.add(marks)
+            if (known := find(p)) is not None:
+                young[p] = known
+            elif p[-1:] in _MARK_SET and (word := p.rstrip(_MARKS)).lstrip(" ").isalpha():
+                asked[word] = asked[p[len(word) :]] = None
             else:
-                asked.add(p)
+                asked[p] = None
+        young.update((p, old[p]) for p in asked if p in old)
         asked = [p for p in asked if p not in young]
-        plain, rest = [], []
-        for p in asked:
-            (plain if p.strip() == p.lstrip(" ") != "" and "\n" not in p else rest).append(p)
+        plain = [p for p in asked if p.isalnum() or p[1:].isalnum() and p[0] == " "]
+        rest = set(asked).difference(plain)
+        plain += [p for p in rest if p.strip() == p.lstrip(" ") != "" and "\n" not in p]
+        rest = list(rest.difference(plain))
         young.update(zip(plain, self._new(plain), strict=True))
         young.update(zip(rest, self._whole(rest), strict=True))
-        for i, word, marks in halves:
-            young[pieces[i]] = young[word] + young[marks]
         for i in lacking:
-            got[i] = young[pieces[i]]
+            if (ids := young.get(p := pieces[i])) is None:
+                word = p.rstrip(_MARKS)
+                ids = young[word] + young[p[len(word) :]]
+            got[i] = ids
         for p in asked:
             if len(p) > 64:
                 del young[p]
@@ -105,7 +107,7 @@ class Encoder:
         regular = pc.invert(pc.match_substring_regex(texts, _UNEVEN)).to_numpy(zero_copy_only=False).astype(bool)
         cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", texts.filter(pa.array(regular)), "\n"), "\n", " \n"), " ")
         words = pc.dictionary_encode(cut.flatten())
-        words_list = words.dictionary.to_pylist()  # the empty one stands before each text's added line break
+        words_list = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # the empty one stands before each text's added line break
         ids = self._ids([w[1:] if w[:1] == "\n" else " " + w if w else "" for w in words_list])
         ids = pa.array([self.line + x if w[:1] == "\n" else x for w, x in zip(words_list, ids, strict=True)], pa.binary())
         every = ids.take(words.indices)
@@ -135,7 +137,7 @@ def vocabulary_path(path: str | None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, chunk: int = 4 << 20) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, chunk: int = 6 << 20) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids with the end id) of rows (doc_id, text), about `chunk` bytes of text at a time."""
     enc, end = encoder(vocabulary_path(path)), np.array([end_id], "<u4").tobytes()
     for batch in batches:
