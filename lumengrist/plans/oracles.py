@@ -115,7 +115,7 @@ ORACLES = {
     "index_export": f"WITH {TF} SELECT term, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS ids FROM tf GROUP BY term",
     "dict_export": f"WITH {DICT} SELECT line_num, term || ' ' || freq AS line FROM dict",
     "char_index_export": f"WITH {CHARS} SELECT ch, ch || ' ' || string_agg(line_num::VARCHAR, ' ' ORDER BY line_num) AS line FROM chars GROUP BY ch",
-    "index_import": f"WITH {BM25} SELECT term, doc_id, round(printf('%.5e', weight)::DOUBLE, 4) AS weight FROM post",
+    "index_import": f"WITH {BM25} SELECT term, doc_id, printf('%.5e', weight)::DOUBLE AS weight FROM post",
     "dict_import": f"WITH {DICT} SELECT line_num, term, freq FROM dict",
     "dict_max_freq": f"WITH {DICT} SELECT greatest(1, max(freq)) AS max_freq FROM dict",
     "char_index_import": f"WITH {CHARS} SELECT ch, line_num FROM chars",

@@ -76,7 +76,7 @@ def _bodies(spark, sf_dir, which=None) -> DataFrame:
     return S.fetched(_found(spark, sf_dir, which), documents(spark, sf_dir))
 
 
-def _answers(queries: DataFrame, spark, sf_dir) -> DataFrame:
+def answers(queries: DataFrame, spark, sf_dir) -> DataFrame:
     body = S.fetched(S.search(queries, postings(spark, sf_dir)), documents(spark, sf_dir))
     snippets = kwic.abstracts(body, S.query_keywords(queries))
     return body.join(snippets, ["query_id", "doc_id"]).select("query_id", "rank", "doc_id", "score", "title", "link", "abstract")
@@ -84,7 +84,7 @@ def _answers(queries: DataFrame, spark, sf_dir) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked pages with snippets for all searches."""
-    return _answers(searches(spark), spark, sf_dir)
+    return answers(searches(spark), spark, sf_dir)
 
 
 def text_strip_tags(spark, sf_dir):
@@ -169,7 +169,7 @@ def _folder(spark, name: str) -> str:
 
 def index_import(spark, sf_dir):
     stores.write_lines(stores.index_lines(postings(spark, sf_dir)), ["term"], path := _folder(spark, "index"))
-    return stores.read_index(spark, path).select("term", "doc_id", F.round("weight", 4).alias("weight"))
+    return stores.read_index(spark, path).select("term", "doc_id", "weight")
 
 
 def dict_import(spark, sf_dir):
@@ -377,7 +377,7 @@ def stream_search(spark, sf_dir):
     """The searches as a stream of requests, answered in batches against the index."""
     requests = write_shared(searches(spark), "requests")
     source = spark.readStream.schema(requests.schema).parquet(requests.inputFiles()[0].rsplit("/", 1)[0])
-    return service.answer_all(source, lambda rows: _answers(rows, spark, sf_dir), _folder(spark, "answers"), _folder(spark, "answers-checkpoint")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "abstract")
+    return service.answer_all(source, lambda rows: answers(rows, spark, sf_dir), _folder(spark, "answers"), _folder(spark, "answers-checkpoint")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "abstract")
 
 
 def ext_cooccur_recall(spark, sf_dir):
