@@ -119,15 +119,15 @@ def _resolved(candidates: DataFrame, shared, k: int) -> DataFrame:
             for lo in range(0, len(block.ids), block.rows):
                 parts, hi = block.parts(lo, c), lo + block.rows
                 least = (cutoff[lo:hi] / len(block.slabs) * (1 - 1e-12))[:, None]
-                reached = np.logical_or.reduce([part >= least for part in parts])
+                reached = np.logical_or.reduce([(part >= least).astype(bool) for part in parts])
                 reached &= block.ids[lo:hi, None] != ids[None, :]
                 total = sum(parts)
-                reached &= total >= cutoff[lo:hi, None]
+                reached &= (total >= cutoff[lo:hi, None]).astype(bool)
                 for q in np.flatnonzero(reached.any(axis=1)).tolist():
                     take = np.flatnonzero(reached[q])
                     a, b = kept.get(lo + q, (total[q, :0], ids[:0]))
                     a, b = np.concatenate([a, total[q, take]]), np.concatenate([b, ids[take]])
-                    best = np.lexsort((b, -a))[:k]
+                    best = np.lexsort((b, -a))[:k] if block.exact else sorted(range(len(a)), key=lambda i: (-a[i], b[i]))[:k]
                     kept[lo + q] = a[best], b[best]
         lift = sum(block.lift)
         rows = [(q, int(i), int(x) - int(lift[q])) for q, (a, b) in kept.items() for x, i in zip(a, b, strict=True)]
