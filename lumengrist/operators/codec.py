@@ -73,6 +73,13 @@ def pages_json(pages: DataFrame) -> DataFrame:
     return lists.select("query_id", F.to_json("p.page").alias("json"))
 
 
+def parsed_pages(answers: DataFrame) -> DataFrame:
+    """(query_id, rank, doc_id, title, link, abstract) of (query_id, json), as a client reads them."""
+    pages = F.from_json("json", "array<struct<abstract: string, id: long, link: string, title: string>>")
+    rows = answers.select("query_id", F.posexplode(pages).alias("at", "page"))
+    return rows.select("query_id", (F.col("at") + 1).cast("long").alias("rank"), F.col("page.id").alias("doc_id"), "page.title", "page.link", "page.abstract")
+
+
 def commands(lines: DataFrame) -> DataFrame:
     """(line, action, type, text): what a typed line asks for. Blanks and tabs around it don't count; an empty one asks nothing."""
     line = F.btrim("line", F.lit(" \t"))

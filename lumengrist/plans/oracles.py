@@ -164,3 +164,4 @@ ORACLES = {
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY common DESC, term) AS rank FROM c) SELECT query_id, rank, term, common FROM r WHERE rank <= {C.SUGGESTIONS}""",
     "ext_search_pages_multilang": f"WITH {_search(SEARCHES, base=_PAGE_BM25)} {_RANKED}",
 }
+ORACLES["response_parse"] = ORACLES["search_pages"]

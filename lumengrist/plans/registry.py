@@ -11,7 +11,7 @@ from ..functions.segment import segment
 from ..operators import codec, fingerprint, index, kwic, recommend
 from ..operators import search as S
 from ..sources import rss, stores
-from ..sources.shared import built, shared_root, write_shared
+from ..sources.shared import application_folder, built, write_shared
 from ..streaming import service
 from .oracles import CJK_WORDS, ORACLES, SEARCHES, SUGGEST_FOR  # noqa: F401
 
@@ -164,7 +164,7 @@ def char_index_export(spark, sf_dir):
 def _folder(spark, name: str) -> str:
     import uuid
 
-    return f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def index_import(spark, sf_dir):
@@ -292,6 +292,11 @@ def search_pages_json(spark, sf_dir):
     return codec.pages_json(flagship(spark, sf_dir))
 
 
+def response_parse(spark, sf_dir):
+    """What a client reads from the answers: the pages of each JSON array in order."""
+    return codec.parsed_pages(search_pages_json(spark, sf_dir))
+
+
 def recall_char(spark, sf_dir):
     return recommend.recall_by_characters(asked(spark), char_index(spark, sf_dir))
 
@@ -399,7 +404,7 @@ QUERIES = {
         text_strip_tags, page_extract, tokenize_ascii, token_stopword_anti, cjk_filter, char_explode, tokenize_cjk, rss_items, dict_freq, dict_line_num,
         page_offsets, index_export, dict_export, char_index_export, index_import, dict_import, dict_max_freq, char_index_import, offsets_import, doc_len, corpus_stats,
         term_idf, bm25_postings, simhash_topn, simhash_fp, simhash_blocks, dup_candidates, dup_pairs, dedup_greedy, query_keywords, search_scores, search_progressive,
-        search_stopwords, kwic_hits, kwic_merged, kwic_best, kwic_abstract, kwic_fallback, search_pages, search_pages_json, recall_char, recall_prefix, recall_union,
+        search_stopwords, kwic_hits, kwic_merged, kwic_best, kwic_abstract, kwic_fallback, search_pages, search_pages_json, response_parse, recall_char, recall_prefix, recall_union,
         edit_prune, jaccard_docs, freq_score, hybrid_score, recommend_topk, recommend_json, tlv_encode, tlv_decode, request_dispatch, client_command, stream_messages,
         stream_search, ext_cooccur_recall, ext_search_pages_multilang,
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _BUILT: dict[tuple, DataFrame] = {}
+_LOCAL: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -24,10 +27,27 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """The folder for this application's tables. A local application's folder goes when Python ends; on a cluster release() deletes it."""
+    path = f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}"
+    if spark.sparkContext.master.startswith("local") and path not in _LOCAL:
+        _LOCAL.add(path)
+        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written; DataFrames that read them are void then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _BUILT if k[0] == spark.sparkContext.applicationId]:
+        del _BUILT[key]
+
+
 def write_shared(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
