@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import write_shared
+
+__all__ = ["BLANKS", "NO_ID", "ascii_lower", "bit_words", "load", "maybe_member", "shuffle_partitions", "write_shared"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The bytes that the contracts count as white space.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -18,30 +19,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    A local session without that setting gets a temporary folder of its own; a cluster without it is an error,
-    because no machine-local folder is safe there.
-    """
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def write_shared(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -318,12 +318,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class. The dropped rows' (id, text hash) are the hash join's build side."""
     found = write_shared(near_dedup(docs, **options), "near-result")
-    gone = found.where("NOT kept").select("did", "th").distinct()
-    own = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    out = own.join(gone.hint("shuffle_hash"), ["did", "th"], "left_anti")
+    own = [F.col("did").alias("_near_did"), F.col("th").alias("_near_th")]
+    key = ["_near_did", "_near_th"]
+    gone = found.where("NOT kept").select(*own).distinct()
+    text = F.coalesce("text", F.lit(""))
+    out = docs.withColumns({"_near_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_near_th": F.xxhash64(text)}).join(gone.hint("shuffle_hash"), key, "left_anti")
     repeated = found.where("kept AND class_size > 1").groupBy("did", "th").count().where("count > 1")
     if not repeated.isEmpty():
-        out = out.dropDuplicates(["did", "th"])  # rows that repeat id and text
+        out = out.dropDuplicates(key)  # rows that repeat id and text
     return out.select(*docs.columns)
 
 
