@@ -2,7 +2,7 @@
 
 1. Document frequencies of all shingles (five words, lower-cased) are counted over all documents in 2**df_bits hashed counters.
    A document touches the same share of counters in a corpus of any size, so the weights behave alike at every size.
-2. Weight of a shingle = its count times 1 + ln((1 + N) / (1 + df)). Each of bands * rows samples of a document comes from
+2. Weight of a shingle = its count times a damped inverse document frequency (see rarity). Each of bands * rows samples of a document comes from
    improved consistent weighted sampling: two documents draw the same with the probability of their weighted Jaccard similarity.
    The samples of a band make its key.
 3. Documents of the same words are one node, whatever their number. Nodes that share a band key are candidates.
@@ -136,8 +136,17 @@ def band_keys(samples: np.ndarray, bands: int) -> np.ndarray:
 _CELL = 4096
 
 
+def rarity(df: np.ndarray, n: int) -> np.ndarray:
+    """1 + ln((1 + N) / (1 + df)) / ln(counters): from 1 for what all documents hold to 2 and less.
+
+    Undamped, the few shingles that an edit makes would weigh several times those of a text with thousands of copies, and large groups
+    of near copies would fall apart.
+    """
+    return (1 + np.log((1 + n) / (1 + df)) / np.log(len(df))).astype(np.float32)
+
+
 def idf_table(texts: DataFrame, df_bits: int) -> np.ndarray:
-    """1 + ln((1 + N) / (1 + df)) of each hashed counter, over all rows (text): 2**df_bits numbers."""
+    """The rarity of each hashed counter, over all rows (text): 2**df_bits numbers."""
     shift, last = np.uint64(64 - df_bits), (1 << df_bits) // _CELL
 
     def count(batches):
@@ -170,7 +179,7 @@ def idf_table(texts: DataFrame, df_bits: int) -> np.ndarray:
             n = int(counts[0])
         else:
             df[r["cell"] * _CELL : (r["cell"] + 1) * _CELL] = counts
-    return (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
+    return rarity(df, n)
 
 
 _SIGNED = "did long, th long, hi long, lo long, total double, bands array<bigint>"

@@ -20,7 +20,7 @@ def brute_classes(texts):
     df = np.zeros(1 << 20, np.int64)
     for u, _ in v:
         df[u >> np.uint64(44)] += 1
-    idf = (1 + np.log((1 + len(v)) / (1 + df))).astype(np.float32)
+    idf = near_dedup.rarity(df, len(v))
     w = [(u, near_dedup.weights(u, n, idf)) for u, n in v]
     holders = defaultdict(list)
     for i, (u, _) in enumerate(w):
