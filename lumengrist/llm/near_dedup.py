@@ -6,10 +6,10 @@
    improved consistent weighted sampling: two documents draw the same with the probability of their weighted Jaccard similarity.
    The samples of a band make its key.
 3. Documents of the same words are one node, whatever their number. Nodes that share a band key are candidates.
-4. Candidates are compared by their whole texts. In rounds, each key's bucket names a leader, who is compared with the members
-   of other classes in that bucket: as many pairs as members at most. Links join classes (labels spread over links, then jump).
-   After each round the pairs left are counted: members of one bucket in different classes that weren't compared yet. When they
-   are fewer than `rest` times the entries, or when the rounds end, all of them are compared. No link between candidates is lost.
+4. Candidates are compared by their whole texts. First each key's bucket names a leader: the node that meets most others in its
+   buckets, as the original of many near copies does. All members are compared with it, and links join classes (labels spread over
+   links, then jump). Where a bucket still holds several classes, all its members of different classes are compared, block by block, as
+   products of matrices; so no link between candidates is lost, no pairs are made as rows, and no group grows with a bucket.
 5. Every document gets its class: the smallest id in it, and its size.
 
 Defined cases: a text of fewer than five words is one shingle; a text without letters or digits is compared by its blank-separated
@@ -35,9 +35,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _32, _29 = np.uint64(32), np.uint64(29)
-#: Orders of nodes, one for each round: leaders are the least after an exclusive or.
-_ORDERS = [0, 0x2AAAAAAAAAAAAAAA, 0x1234567812345678, 0x33333333CCCCCCCC, 0x0F0F0F0F0F0F0F0F, 0x5A5A5A5A5A5A5A5A]
-
 
 class _Words(dict):
     """Word -> its place in `hashes`, an array of 64-bit hashes; forgets all between texts when full."""
@@ -240,6 +237,68 @@ def similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFr
     return p.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _counted_features(text, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence features of a text, (shingle, how often before) hashed, and their weights: the common weight of two texts is the sum
+    over the features that both have."""
+    u, n = shingles(word_hashes(text))
+    again = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(u, n) + again.astype(np.uint64) * _MIX, np.repeat(idf[u >> np.uint64(64 - int(len(idf)).bit_length() + 1)], n)
+
+
+def _links_of_block(nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, texts: list[str], idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between side 0 and side 1, or within side 0 where there is no side 1, of nodes in different classes."""
+    found = [_counted_features(t, idf) for t in texts]
+    sizes = np.array([w.sum() for _, w in found], np.float64)
+    every, at = np.unique(np.concatenate([f for f, _ in found]), return_inverse=True)
+    rows = np.repeat(np.arange(len(found)), [len(f) for f, _ in found])
+    weight = np.zeros(len(every))
+    weight[at] = np.concatenate([w for _, w in found])
+    shared = np.bincount(at, minlength=len(every)) > 1
+    place = np.cumsum(shared) - 1
+    use = shared[at]
+    rows, at, weight = rows[use], place[at[use]], weight[shared]
+    left = np.flatnonzero(sides == 0)
+    right = np.flatnonzero(sides == 1) if (sides == 1).any() else left
+    common = np.zeros((len(left), len(right)), np.float64)
+    line = np.full(len(found), -1)
+    for lo in range(0, len(weight), 4096):
+        now = (at >= lo) & (at < lo + 4096)
+        parts = []
+        for side in (left, right):
+            line[:] = -1
+            line[side] = np.arange(len(side))
+            own = now & (line[rows] >= 0)
+            m = np.zeros((len(side), min(4096, len(weight) - lo)))
+            m[line[rows[own]], at[own] - lo] = 1
+            parts.append(m)
+        common += (parts[0] * weight[lo : lo + 4096]) @ parts[1].T
+    ratio = common / (sizes[left][:, None] + sizes[right][None, :] - common)
+    good = (ratio >= threshold) & (labels[left][:, None] != labels[right][None, :])
+    i, j = np.nonzero(good)
+    return [(int(min(x, y)), int(max(x, y))) for x, y in zip(nodes[left[i]], nodes[right[j]], strict=True)]
+
+
+def links_in_blocks(open_: DataFrame, texts: DataFrame, idf, threshold: float, block: int = 128) -> DataFrame:
+    """All links (a, b) between nodes of different classes that share a bucket; open_: (key, node, label) of the buckets.
+
+    A bucket is cut into blocks of about `block` nodes, and each pair of blocks is compared at once, by a product of matrices in one group. No
+    pairs are made as rows: a node is sent as often as its bucket has blocks, and no group holds more than two blocks.
+    """
+    sized = open_.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.expr(f"cast((n + {block - 1}) div {block} AS int)"))
+    own = open_.join(sized, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
+    other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = other.select("key", "node", "label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when((F.col("own") <= F.col("other")), 0).otherwise(1).alias("side"))
+    full = pair.join(texts, "node").select("key", "x", "y", "node", "label", "side", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy()
+        sides, x, y = column("side"), table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        links = [] if x != y and len(set(sides.tolist())) < 2 or table.num_rows < 2 else _links_of_block(column("node"), column("label"), sides, table.column("text").to_pylist(), idf.value, threshold)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return full.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes in links (a, b): the least node of each connected component."""
     both = write_shared(links.union(links.select("b", "a")).distinct(), "near-edges")
@@ -254,50 +313,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(entries: DataFrame, totals: DataFrame, texts: DataFrame, idf, threshold: float, rest: float) -> DataFrame:
+def classes(entries: DataFrame, totals: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """(node, label) of nodes with links. entries (key, node): band keys that nodes share; totals (node, total)."""
-    own = write_shared(entries.join(totals, "node").select("key", "node", "total", F.col("node").alias("label")), "near-entries")
-    size, tested, labels = own.count(), None, None
-    if not size:
-        return own.select("node", "label")
-
-    def compared(pairs):
-        nonlocal tested, labels, own
-        pairs = pairs.distinct()
-        pairs = write_shared(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = write_shared(similar(pairs, texts, idf, threshold), "near-links")
-        if labels is not None:
-            was = [labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in ("a", "b")]
-            links = links.join(was[0], "a", "left").join(was[1], "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
-            merged = components(links).select(F.col("node").alias("label"), F.col("label").alias("new"))
-            joined = labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
-            alone = merged.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(F.col("label").alias("node"), F.col("new").alias("label"))
-            labels = write_shared(joined.union(alone), "near-labels")
-        else:
-            labels = components(links)
-        own = write_shared(own.drop("label").join(labels, "node", "left").select("key", "node", "total", F.coalesce("label", "node").alias("label")), "near-entries")
-
+    met = entries.join(entries.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("met"))
+    own = write_shared(entries.join(met.join(totals, "node"), "node"), "near-entries")
+    leader = own.groupBy("key").agg(F.max(F.struct("met", "node", "total")).alias("m")).select("key", F.col("m.node").alias("x"), F.col("m.total").alias("other"))
     fits = F.least("total", "other") >= (threshold - 1e-3) * F.greatest("total", "other")
-    pair = (F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-    for order in _ORDERS:
-        open_ = own.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.lit(order))).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        leader = open_.select("key", F.col("m").bitwiseXOR(F.lit(order)).alias("x"))
-        named = own.select("node", F.col("total").alias("other"), F.col("label").alias("xl")).distinct().withColumnRenamed("node", "x")
-        compared(own.join(leader.join(named, "x"), "key").where((F.col("label") != F.col("xl")) & fits).select(*pair))
-        parts = own.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        left = parts.where("n * n > same").agg(F.sum(F.expr("(n * n - same) / 2")).alias("n")).first()["n"] or 0
-        if left <= rest * size:
-            break
-    if left:
-        open_ = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-        few = write_shared(own.join(open_, "key", "left_semi"), "near-open")
-        other = few.select("key", F.col("node").alias("x"), F.col("total").alias("other"), F.col("label").alias("xl"))
-        compared(few.join(other, "key").where((F.col("label") < F.col("xl")) & fits).select(*pair))
-    return labels
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 12, rows: int = 4, threshold: float = THRESHOLD, df_bits: int = 20, filter_bits: int = 24, rest: float = 2.0) -> DataFrame:
+    pairs = own.join(leader, "key").where((F.col("node") != F.col("x")) & fits).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    links = write_shared(similar(write_shared(pairs, "near-pairs"), texts, idf, threshold), "near-links")
+    labels = components(links)
+    own = write_shared(own.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-entries")
+    apart = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    more = write_shared(links_in_blocks(own.join(apart, "key", "left_semi"), texts, idf, threshold), "near-links")
+    return components(links.union(more)) if not more.isEmpty() else labels
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 12, rows: int = 4, threshold: float = THRESHOLD, df_bits: int = 20, filter_bits: int = 24) -> DataFrame:
     """did (the id, 2**63-1 for null), th (xxhash64 of the text), doc_id, class_id, class_size and kept of every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -314,7 +345,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = write_shared(wanted, "near-wanted")
     texts = maybe_member(source, "th", wanted.select("th"), filter_bits).join(wanted, ["did", "th"]).select("node", "text").dropDuplicates(["node"])
     texts = write_shared(texts, "near-texts", compression="zstd")
-    labels = classes(entries, nodes.select("node", "total"), texts, idf, threshold, rest)
+    labels = classes(entries, nodes.select("node", "total"), texts, idf, threshold)
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = labelled.groupBy("label").agg(F.min("rep").alias("keep"), F.sum("copies").alias("class_size"))
     members = write_shared(labelled.join(groups, "label").select("hi", "lo", "keep", "class_size"), "near-classes")
