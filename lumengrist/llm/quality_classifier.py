@@ -7,7 +7,8 @@ Features of a text: presence of each lower-cased word (a single bad word counts
 by rarity in the sample, and the shares of marks, upper-case words and immediate repetitions among all tokens, all hashed to 2**18
 weights. Rare grades count more, by the root of their rarity. Weights are learnt coordinate by
 coordinate with L1 and L2 penalties (follow-the-regularised-leader), thresholds by gradient steps that keep their order, on about
-`per_grade` labelled documents of each grade, chosen by hash.
+`per_grade` labelled documents of each grade, chosen by hash. A drawn document counts for all those it was drawn from, so that the
+shares of the grades are those of all labels, however many are drawn.
 
 Defined cases: a text that is null or has no token gets grade 0 and tail probability 0; labels without rating, or whose document is
 missing, aren't used; without any usable label the scores are null and all documents are kept; rows that repeat an id count each;
@@ -98,16 +99,19 @@ class Model:
         return [0.0] * len(self.thresholds) if q is None else [1 / (1 + math.exp(max(-40.0, min(40.0, t - q)))) for t in self.thresholds.tolist()]
 
 
-def train(samples: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs: int, alpha: float, l1: float, l2: float, step: float, seed: int) -> Model:
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    share = np.cumsum(np.bincount([y for y, *_ in samples], minlength=grades))[:-1] / len(samples)
+def train(samples: list[tuple[int, np.ndarray, np.ndarray]], stands_for: np.ndarray, epochs: int, alpha: float, l1: float, l2: float, step: float, seed: int) -> Model:
+    """stands_for: how many labelled documents a sample of each grade counts for."""
+    z, n, grades = np.zeros(1 << BITS), np.zeros(1 << BITS), len(stands_for)
+    full = np.bincount([y for y, *_ in samples], minlength=grades) * stands_for
+    even = stands_for * len(samples) / full.sum()  # 1 on average, so that steps are of one size for all samples
+    share = np.cumsum(full)[:-1] / full.sum()
     thresholds = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
     thresholds += np.arange(grades - 1) * 1e-2
 
     def weights(at):
         return np.where(np.abs(z[at]) <= l1, 0.0, -(z[at] - np.sign(z[at]) * l1) / ((1 + np.sqrt(n[at])) / alpha + l2))
 
-    weight = np.sqrt(len(samples) / grades / np.maximum(1, np.bincount([y for y, *_ in samples], minlength=grades)))
+    weight = even * np.sqrt(full.sum() / grades / np.maximum(1, full))
     rng = np.random.default_rng(seed)
     for epoch in range(epochs):
         for i in rng.permutation(len(samples)):
@@ -121,7 +125,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], grades: int, epochs
             root = np.sqrt(n[at] + g * g)
             z[at] += g - (root - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
-            rate = step / (1 + epoch)
+            rate = step / (1 + epoch) * even[y]
             if y < grades - 1:
                 thresholds[y] += rate * min(10.0, upper * (1 - upper) / p)
             if y:
@@ -137,9 +141,10 @@ def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, min_documen
     if not sizes:
         return None
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    share = F.lit(0.0)
+    share, stands_for = F.lit(0.0), np.ones(max(sizes) + 1)
     for grade, count in sizes.items():
         share = F.when(F.col("grade") == grade, min(1.0, per_grade / count)).otherwise(share)
+        stands_for[grade] = max(1.0, count / per_grade)
     drawn = graded.where(draw < share).select(F.col("doc_id").alias("_id"), "grade")  # about per_grade rows for each grade
 
     @F.udf("at binary, x binary")
@@ -155,7 +160,7 @@ def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, min_documen
     scale = np.where(held >= min_documents, np.log(len(samples) / np.maximum(held, 1)) / max(math.log(len(samples)), 1e-9), 0.0)
     scale[[_slot("\0" + k) for k in ("upper", "repeat")]] = 1.0
     samples = [(y, at[scale[at] > 0], (x * scale[at])[scale[at] > 0]) for y, at, x in samples]  # what few hold can only be learnt by heart
-    model = train(samples, max(sizes) + 1, epochs, alpha, l1, l2, step, seed)
+    model = train(samples, stands_for, epochs, alpha, l1, l2, step, seed)
     return Model(model.weights * scale, model.thresholds)
 
 

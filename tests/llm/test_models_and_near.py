@@ -151,6 +151,26 @@ def test_quality(spark):
     assert quality_classifier.score(df.drop("kept").limit(0), model).count() == 0
 
 
+def test_quality_keeps_the_shares_of_all_labels(spark):
+    """kept hardly depends on how many labels of each grade are drawn."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(100)]
+    rows, labels = [], []
+    for i in range(2400):
+        text, grade = rng.choices(words, k=30), rng.choices([0, 1, 2], [1, 1, 8])[0]
+        if grade < 2 and rng.random() < 0.9:
+            text[0] = ("###", "rotten")[grade]
+        rows.append((i, " ".join(text)))
+        labels.append((i, grade))
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, grade int")
+    kept = []
+    for per_grade in (400, 10**9):
+        got = quality_classifier.score(df, quality_classifier.learn(df, lab, per_grade=per_grade)).orderBy("doc_id").collect()
+        kept.append(np.array([r["kept"] for r in got]))
+    assert abs(kept[0].mean() - kept[1].mean()) < 0.03
+    assert np.mean(kept[0] == kept[1]) > 0.95
+
+
 def test_pipeline(spark):
     docs = load(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
