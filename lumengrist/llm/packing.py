@@ -105,8 +105,9 @@ def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
     return pieces, n + count
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 1, capacity: int = 2048, window: int = 4 << 20, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
-    """One row per piece: SCHEMA. See the module for method and defined cases."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 1, capacity: int = 2048, window: int = 4 << 20, linear: float = 1.0, quadratic: float = 1 / 2048, added: bool = False) -> DataFrame:
+    """One row per piece: SCHEMA. See the module for method and defined cases.
+    With `added`, as in the query and the pipeline, strings of the vocabulary's added tokens become these tokens."""
 
     def run(batches):
         task, made = TaskContext.get().partitionId() << 36, 0
@@ -122,7 +123,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
         held, tokens = [], 0
-        for doc in encoded(batches, tokenizer_path, end_id):
+        for doc in encoded(batches, tokenizer_path, end_id, added):
             held.append(doc)
             tokens += len(doc[1]) // 4
             if tokens >= window:
@@ -135,4 +136,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(load(spark, sf_dir, "documents"))
+    return pack_documents(load(spark, sf_dir, "documents"), added=True)

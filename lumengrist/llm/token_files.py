@@ -7,7 +7,8 @@
 4. Read: only the shards' token counts go through the driver; blocks decode independently, and each block's checksums are held.
 
 Defined cases: null text is empty (one end id); null ids come first; equal ids are ordered by checksum and length of their ids, so
-rows that repeat wholly are interchangeable; empty tables make empty files; other columns are ignored.
+rows that repeat wholly are interchangeable; empty tables make empty files; other columns are ignored. Strings of the vocabulary's
+added tokens are ordinary text, or with `added`, as in the query, these tokens.
 """
 
 from __future__ import annotations
@@ -48,10 +49,10 @@ def count_tokens(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
-def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 2, block_tokens: int = 1 << 19, shard_tokens: int = 1 << 26) -> tuple[DataFrame, np.ndarray]:
+def write_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 2, block_tokens: int = 1 << 19, shard_tokens: int = 1 << 26, added: bool = False) -> tuple[DataFrame, np.ndarray]:
     """The block rows, on shared files, and the counts that their table is made from."""
     spark = docs.sparkSession
-    tokens = write_shared(tokenise(docs, id_col, text_col, tokenizer_path, end_id), "token-ids", compression="zstd")
+    tokens = write_shared(tokenise(docs, id_col, text_col, tokenizer_path, end_id, added), "token-ids", compression="zstd")
     counts = count_tokens(tokens)
     total = int(counts.sum())
     shards = max(1, -(-total // shard_tokens), min(4 * spark.sparkContext.defaultParallelism, -(-total // (1 << 21))))
@@ -118,4 +119,4 @@ def read_blocks(blocks: DataFrame, counts: np.ndarray, ids: bool = False) -> Dat
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_blocks(*write_blocks(load(spark, sf_dir, "documents")))
+    return read_blocks(*write_blocks(load(spark, sf_dir, "documents"), added=True))

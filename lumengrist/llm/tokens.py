@@ -30,14 +30,20 @@ class Encoder:
     The vocabulary's pattern never joins characters across the start of a white-space run, and what precedes a piece doesn't
     change how it is cut. So the ids of a text are the ids of its pieces in a row; each new piece goes through the library, and
     the ids of short pieces are kept. Two generations of `limit` pieces bound the memory.
+
+    With `added`, the strings of the vocabulary's added tokens become these tokens, as is the library's default; texts that hold
+    one are encoded in one go. Without, they are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = 100_000, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not added
+        strings = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if added or not t.special]
+        self.odd = re.compile("|".join([_ODD.pattern, *strings]))
+        self.uneven = "|".join([_UNEVEN, *strings])
         self.limit, self.young, self.old = limit, {}, {}
         self.line = self._whole(["\n"])[0]
         self.line_id = int(np.frombuffer(self.line, "<u4")[-1])
@@ -98,13 +104,13 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of one text as little-endian unsigned 32-bit integers."""
-        if _ODD.search(text):
+        if self.odd.search(text):
             return self._whole([text])[0]
         return b"".join(self._ids(_PIECE.findall(text)))
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text. Texts with nothing but single blanks and line breaks between words are cut and looked up in bulk."""
-        regular = pc.invert(pc.match_substring_regex(texts, _UNEVEN)).to_numpy(zero_copy_only=False).astype(bool)
+        regular = pc.invert(pc.match_substring_regex(texts, self.uneven)).to_numpy(zero_copy_only=False).astype(bool)
         cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", texts.filter(pa.array(regular)), "\n"), "\n", " \n"), " ")
         words = pc.dictionary_encode(cut.flatten())
         words_list = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # the empty one stands before each text's added line break
@@ -124,9 +130,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, added: bool) -> Encoder:
     """One for each Python worker; workers live on from task to task."""
-    return Encoder(path)
+    return Encoder(path, added=added)
 
 
 def vocabulary_path(path: str | None) -> str:
@@ -137,9 +143,9 @@ def vocabulary_path(path: str | None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, chunk: int = 6 << 20) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, added: bool, chunk: int = 6 << 20) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids with the end id) of rows (doc_id, text), about `chunk` bytes of text at a time."""
-    enc, end = encoder(vocabulary_path(path)), np.array([end_id], "<u4").tobytes()
+    enc, end = encoder(vocabulary_path(path), added), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -151,12 +157,12 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, ch
             at = to
 
 
-def tokenise(docs: DataFrame, id_col: str, text_col: str, path: str | None, end_id: int, chunk: int = 8 << 20) -> DataFrame:
+def tokenise(docs: DataFrame, id_col: str, text_col: str, path: str | None, end_id: int, added: bool, chunk: int = 8 << 20) -> DataFrame:
     """Rows (doc_id, n_tokens, ids): ids as little-endian unsigned 16-bit integers where the vocabulary allows, else 32-bit (`wide`)."""
 
     def run(batches):
         rows, held = ([], [], [], []), 0
-        for doc_id, ids in encoded(batches, path, end_id):
+        for doc_id, ids in encoded(batches, path, end_id, added):
             a = np.frombuffer(ids, "<u4")
             wide = bool(a.max() > 0xFFFF)
             for column, value in zip(rows, (doc_id, len(a), wide, ids if wide else a.astype("<u2").tobytes()), strict=True):

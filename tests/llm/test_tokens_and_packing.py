@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lumengrist.llm import packing, rans, token_files
 from lumengrist.llm.tokens import Encoder
 
@@ -52,6 +53,29 @@ def test_encoder_any_text(text):
 _SHARED = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def by_default(text):
+    return np.array(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text or "", add_special_tokens=False).ids, "<u4")
+
+
+def test_added_tokens_by_default():
+    rng = random.Random(5)
+    texts = ["a <|endoftext|> b", "a b", "x<|endoftext|><|endoftext|>\ny", "<|endoftext", "|>", *("".join(rng.choices(_PARTS, k=8)) for _ in range(60))]
+    enc = Encoder(public_tokenizers.path("byte_bpe_50k.json"), added=True)
+    for text, raw in zip(texts, enc.encode_all(pa.array(texts)), strict=True):
+        assert raw == enc.encode(text) == by_default(text).tobytes(), repr(text)
+
+
+def test_queries_encode_by_default(spark, tmp_path):
+    rows = [(1, "a <|endoftext|> b", "en", "s", 17), (2, "a b", "en", "s", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: zlib.crc32(np.append(by_default(t), 2).astype("<u4").tobytes()) for i, t, *_ in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in token_files.op2_token_files(spark, str(tmp_path)).collect()} == want
+    tokens = {i: len(by_default(t)) + 1 for i, t, *_ in rows}
+    for got in (packing.op3_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: r["doc_tokens"] for r in got.collect()} == tokens
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 300), max_size=400), max_size=6), st.integers(1, 64), st.integers(1, 9))
 def test_blocks_round_trip(docs, lanes, interval):
