@@ -3,7 +3,9 @@
 Features: n-grams of one to three characters of the lower-cased text, hashed to 2**16 buckets; value = share of the text's n-grams
 times the bucket's inverse document frequency, counted over all documents one may learn from. The weights are learnt by
 follow-the-regularised-leader with L1 and L2 penalties, coordinate by coordinate, on about `per_language` documents of each language
-(chosen by hash); a fifth of these are held back to fit a temperature that divides the scores. A prediction uses the text only.
+(chosen by hash); a fifth of these are held back to fit a temperature that divides the scores. The logarithm of how many documents a
+drawn one stands for is then added for each language, so that scores follow the shares of all documents one may learn from, however
+many are drawn. A prediction uses the text only.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is everything while nothing can be learnt; documents
 without id are never learnt from and not held out; repeated rows count each; other columns are ignored. More than `max_languages`
@@ -151,6 +153,7 @@ def learn(labelled: DataFrame, per_language: int = 1000, max_languages: int = 10
     weights = train([(y, at, x) for y, part, at, x in ready if part] or [(y, at, x) for y, _, at, x in ready], len(languages), epochs, alpha, beta, l1, l2, seed)
     held = [(y, x @ weights[at]) for y, part, at, x in ready if not part]
     temperature = fit_temperature(np.array([s for _, s in held]), np.array([y for y, _ in held])) if held and len(languages) > 1 else 1.0
+    weights[BUCKETS] += temperature * np.log([max(1.0, sizes[lang] / per_language) for lang in languages])  # from the sample's shares to those of all
     return Model(languages, weights, idf, temperature)
 
 

@@ -123,6 +123,23 @@ def test_language_cases(spark):
     assert language_id.identify(df.drop("score").limit(0), model).count() == 0
 
 
+def test_language_keeps_the_shares_of_all(spark):
+    """Which documents the pipeline rejects hardly depends on how many of each language are drawn."""
+    rng = random.Random(3)
+    common = ["".join(rng.choices("aeiourst", k=5)) for _ in range(60)]
+    own = {lang: ["".join(rng.choices("aeiourst" + more, k=5)) for _ in range(60)] for lang, more in (("en", "kw"), ("fr", "qv"), ("de", "zg"), ("it", "lp"))}
+    rows = []
+    for i in range(4000):
+        lang = rng.choices(list(own), [17, 1, 1, 1])[0]
+        rows.append((i, " ".join(rng.choice(own[lang] if rng.random() < 0.3 else common) for _ in range(rng.randint(1, 4))), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rejected = []
+    for per_language in (100, 10**9):
+        got = language_id.identify(df, language_id.learn_from_documents(df, per_language=per_language)).orderBy("doc_id").collect()
+        rejected.append(np.array([r["score"] < corpus_pipeline.LEAST_SCORE for r in got]))
+    assert np.mean(rejected[0] == rejected[1]) > 0.9, [r.mean() for r in rejected]
+
+
 def test_quality(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(200)]
