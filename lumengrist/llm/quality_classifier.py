@@ -4,7 +4,7 @@ One weight vector over hashed text features gives a document's latent quality; o
 P(grade <= g) = logistic(threshold_g - quality). The expected grade orders documents, the tail probability P(grade >= g) selects them.
 
 Features of a text: presence of each lower-cased word (a single bad word counts as much in a long text as in a short one), weighed
-by rarity in the sample, and the shares of marks, upper-case words and immediate repetitions among all tokens, all hashed to 2**18
+by rarity over all documents, and the shares of marks, upper-case words and immediate repetitions among all tokens, all hashed to 2**18
 weights. Rare grades count more, by the root of their rarity. Weights are learnt coordinate by
 coordinate with L1 and L2 penalties (follow-the-regularised-leader), thresholds by gradient steps that keep their order, on about
 `per_grade` labelled documents of each grade, chosen by hash. A drawn document counts for all those it was drawn from, so that the
@@ -23,6 +23,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,38 @@ def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at[order], np.fromiter(x.values(), float, len(x))[order]
 
 
+def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents that hold each slot, over all rows (text), and the number of rows."""
+
+    def run(batches):
+        held, rows, known = np.zeros(1 << BITS, np.int64), 0, {}
+        for batch in batches:
+            slots = []
+            for text in batch.column(0):
+                if len(known) > 300_000:
+                    known.clear()
+                here = set()
+                for token in set(TOKENS.findall(text.as_py() or "")):
+                    slot = known.get(token)
+                    if slot is None:
+                        word = token[0] == "_" or token[0].isalnum()
+                        slot = known[token] = _slot(token.lower() if word else "\0" + token[:4])
+                    here.add(slot)
+                slots.extend(here)
+                if len(slots) > 1 << 20:
+                    held += np.bincount(slots, minlength=1 << BITS)
+                    slots = []
+            held += np.bincount(np.array(slots, np.int64), minlength=1 << BITS)
+            rows += batch.num_rows
+        seen = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int64()), pa.array(np.append(held[seen], rows), pa.int64())], ["slot", "n"])
+
+    counted = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((1 << BITS) + 1, np.int64)
+    out[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)  # slot -1, the rows, comes last
+    return out[:-1], int(out[-1])
+
+
 def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -156,8 +189,8 @@ def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, min_documen
     samples = [(r["grade"], np.frombuffer(r["v"]["at"], np.int64), np.frombuffer(r["v"]["x"], float)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["grade"]))]
     if not samples:
         return None
-    held = np.bincount(np.concatenate([at for _, at, _ in samples]), minlength=1 << BITS)
-    scale = np.where(held >= min_documents, np.log(len(samples) / np.maximum(held, 1)) / max(math.log(len(samples)), 1e-9), 0.0)
+    held, n = document_frequency(docs)
+    scale = np.where(held >= min_documents, np.log(n / np.maximum(held, 1)) / max(math.log(n), 1e-9), 0.0)
     scale[[_slot("\0" + k) for k in ("upper", "repeat")]] = 1.0
     samples = [(y, at[scale[at] > 0], (x * scale[at])[scale[at] > 0]) for y, at, x in samples]  # what few hold can only be learnt by heart
     model = train(samples, stands_for, epochs, alpha, l1, l2, step, seed)

@@ -188,6 +188,29 @@ def test_quality_keeps_the_shares_of_all_labels(spark):
     assert np.mean(kept[0] == kept[1]) > 0.95
 
 
+def test_quality_counts_all_documents(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["One", "one", "_x", "two", "...", ".....", "?!", "é", "AB AB"], k=rng.randint(0, 6))) for _ in range(300)] + [None]
+    held, n = quality_classifier.document_frequency(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    special = [quality_classifier._slot("\0" + k) for k in ("upper", "repeat")]
+    want = np.zeros(len(held), np.int64)
+    for t in texts:
+        want[[i for i in quality_classifier.vector(t or "")[0] if i not in special]] += 1
+    assert n == 301 and (held == want).all()
+    # a word that few labelled documents hold but many others do
+    rows = [(i, f"{'good' if i % 2 else 'bad'} x{i}" + (" telling" if i < 4 or i > 100 else "")) for i in range(200)]
+    labels = [(i, 2 if i < 4 or i % 2 else 0) for i in range(100)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, grade int")
+    seen = []
+    train = quality_classifier.train
+    quality_classifier.train = lambda samples, *rest: seen.extend(samples) or train(samples, *rest)
+    try:
+        quality_classifier.learn(df, lab)
+    finally:
+        quality_classifier.train = train
+    assert sum(quality_classifier._slot("telling") in at for _, at, _ in seen) == 4
+
+
 def test_pipeline(spark):
     docs = load(spark, SF, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
