@@ -7,7 +7,8 @@ cheapest sequence first. Each task packs its rows in windows of `window` tokens
 at most one sequence's worth of padding for each window.
 
 Defined cases: a null text is empty (one end id); a null or repeated doc_id is kept as it is, each row being a document;
-empty tables give no pieces; other columns are ignored. Ties go by doc_id, nulls first, then by content. Sequence ids are unique,
+a very long text fills sequences of its own and is cut where they are full; empty tables give no pieces; other columns, of any name, are
+ignored. Ties go by doc_id, nulls first, then by content. Sequence ids are unique,
 not consecutive: task number and count in the task.
 """
 
@@ -105,9 +106,8 @@ def pack(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: floa
     return pieces, n + count
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 1, capacity: int = 2048, window: int = 4 << 20, linear: float = 1.0, quadratic: float = 1 / 2048, added: bool = False) -> DataFrame:
-    """One row per piece: SCHEMA. See the module for method and defined cases.
-    With `added`, as in the query and the pipeline, strings of the vocabulary's added tokens become these tokens."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, end_id: int = 1, capacity: int = 2048, window: int = 4 << 20, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
+    """One row per piece: SCHEMA. See the module for method and defined cases."""
 
     def run(batches):
         task, made = TaskContext.get().partitionId() << 36, 0
@@ -123,7 +123,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
         held, tokens = [], 0
-        for doc in encoded(batches, tokenizer_path, end_id, added):
+        for doc in encoded(batches, tokenizer_path, end_id):
             held.append(doc)
             tokens += len(doc[1]) // 4
             if tokens >= window:
@@ -136,4 +136,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(load(spark, sf_dir, "documents"), added=True)
+    return pack_documents(load(spark, sf_dir, "documents"))

@@ -2,10 +2,10 @@
 
 One table of symbol frequencies, of sum 2**BITS, is shared by all blocks. A block is coded by itself: token i belongs to lane
 i mod `lanes`, each lane has a 64-bit state, and all lanes move together, so numpy codes a whole step at once. States leave 32-bit
-words to one stream. Every `interval` steps a checkpoint holds the states and the place in the stream; decoding can begin at each.
+words to one stream. Every `interval` steps there is a checkpoint: the states, and the part of the stream up to the next one. A
+checkpoint's record decodes by itself, with the table and nothing else.
 
-Layout (little-endian): b"LGR1"; u32 lanes, steps between checkpoints, documents, checkpoints; u64 tokens, words; u32 length of
-each document; then for each checkpoint u64 place, u32 CRC-32 of the tokens (as u32) up to the next one, u64 states; u32 words;
+Record (little-endian): b"LGR2"; u32 lanes, tokens, words, CRC-32 of the table, CRC-32 of the tokens (as u32); u64 states; u32 words;
 u32 CRC-32 of all before.
 """
 
@@ -19,7 +19,7 @@ import numpy as np
 BITS = 18
 _LOW = np.uint64(1 << 31)
 _B, _32, _MASK = np.uint64(BITS), np.uint64(32), np.uint64((1 << 32) - 1)
-_HEAD = struct.Struct("<4sIIIIQQ")
+_HEAD = struct.Struct("<4sIIIII")
 
 
 class Table:
@@ -42,19 +42,19 @@ class Table:
             freq[i] -= step
             excess -= step
             at += 1
+        self.crc = zlib.crc32(freq.astype("<u4").tobytes())
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
 
-def encode_block(docs: list[np.ndarray], table: Table, max_lanes: int = 2048, interval: int = 128) -> bytes:
-    lengths = np.array([len(d) for d in docs], "<u4")
-    tokens = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
+def encode_block(tokens: np.ndarray, table: Table, max_lanes: int = 2048, interval: int = 128) -> list[tuple[int, bytes]]:
+    """(first token, record) of each checkpoint of one block."""
     n = len(tokens)
     lanes = max(1, min(max_lanes, n // 128))
     steps = -(-n // lanes)
     freq, start = table.freq[tokens], table.start[tokens]
-    states, words, marks = np.full(lanes, _LOW, np.uint64), [], []
+    states, words, records = np.full(lanes, _LOW, np.uint64), [], []
     full = np.uint64(63 - BITS)
     for t in range(steps - 1, -1, -1):
         lo, hi = t * lanes, min(n, (t + 1) * lanes)
@@ -65,57 +65,56 @@ def encode_block(docs: list[np.ndarray], table: Table, max_lanes: int = 2048, in
         q = x // f
         states[: hi - lo] = (q << _B) + (x - q * f) + start[lo:hi]
         if t % interval == 0:
-            marks.append((t, len(words), states.copy()))
-    sizes = np.array([len(w) for w in reversed(words)], np.int64)
-    place = np.concatenate([[0], np.cumsum(sizes)])
-    stream = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
-    out = [_HEAD.pack(b"LGR1", lanes, interval, len(docs), len(marks), n, len(stream)), lengths.tobytes()]
-    for t, _, held in reversed(marks):
-        part = tokens[t * lanes : (t + interval) * lanes].astype("<u4")
-        out += [struct.pack("<QI", int(place[t]), zlib.crc32(part)), held.astype("<u8").tobytes()]
-    body = b"".join([*out, stream.tobytes()])
-    return body + struct.pack("<I", zlib.crc32(body))
-
-
-class Block:
-    def __init__(self, raw: bytes):
-        if zlib.crc32(memoryview(raw)[:-4]) != struct.unpack_from("<I", raw, len(raw) - 4)[0]:
-            raise ValueError("block is damaged")
-        magic, self.lanes, self.interval, docs, self.checkpoints, self.tokens, words = _HEAD.unpack_from(raw)
-        if magic != b"LGR1":
-            raise ValueError("no block of token ids")
-        at = _HEAD.size
-        self.lengths = np.frombuffer(raw, "<u4", docs, at)
-        at += 4 * docs
-        self.marks = []
-        for _ in range(self.checkpoints):
-            place, crc = struct.unpack_from("<QI", raw, at)
-            self.marks.append((place, crc, np.frombuffer(raw, "<u8", self.lanes, at + 12)))
-            at += 12 + 8 * self.lanes
-        self.words = np.frombuffer(raw, "<u4", words, at)
-
-    def segment(self, k: int, table: Table) -> np.ndarray:
-        """The tokens from checkpoint k to the next, decoded by themselves."""
-        place, crc, held = self.marks[k]
-        lo = k * self.interval * self.lanes
-        n = min(self.tokens - lo, self.interval * self.lanes)
-        out, states, at = np.empty(n, np.uint32), held.astype(np.uint64), int(place)
-        low = np.uint64((1 << BITS) - 1)
-        for begin in range(0, n, self.lanes):
-            x = states[: min(self.lanes, n - begin)]
-            slot = x & low
-            s = table.symbol[slot]
-            out[begin : begin + len(s)] = s
-            x = table.freq[s] * (x >> _B) + slot - table.start[s]
-            small = x < _LOW
-            m = int(np.count_nonzero(small))
-            if m:
-                x[small] = (x[small] << _32) | self.words[at : at + m].astype(np.uint64)
-                at += m
-            states[: len(x)] = x
-        if zlib.crc32(out.astype("<u4")) != crc:
-            raise ValueError(f"segment {k} is damaged")
-        return out
-
-    def decode(self, table: Table) -> np.ndarray:
-        return np.concatenate([self.segment(k, table) for k in range(self.checkpoints)]) if self.checkpoints else np.zeros(0, np.uint32)
+            part, stream = tokens[lo : lo + interval * lanes].astype("<u4"), np.concatenate(words[::-1])
+            body = b"".join([_HEAD.pack(b"LGR2", lanes, len(part), len(stream), table.crc, zlib.crc32(part)), states.astype("<u8").tobytes(), stream.tobytes()])
+            records.append((lo, body + struct.pack("<I", zlib.crc32(body))))
+            words = []
+    return records[::-1]
+
+
+def decode_record(raw: bytes, table: Table) -> np.ndarray:
+    """The tokens from one checkpoint to the next."""
+    if len(raw) < _HEAD.size + 4 or zlib.crc32(memoryview(raw)[:-4]) != struct.unpack_from("<I", raw, len(raw) - 4)[0]:
+        raise ValueError("a record is damaged")
+    magic, lanes, n, words, of_table, crc = _HEAD.unpack_from(raw)
+    if magic != b"LGR2" or of_table != table.crc:
+        raise ValueError("no record of token ids, or of another table")
+    states = np.frombuffer(raw, "<u8", lanes, _HEAD.size).astype(np.uint64)
+    stream = np.frombuffer(raw, "<u4", words, _HEAD.size + 8 * lanes).astype(np.uint64)
+    out, at, low = np.empty(n, np.uint32), 0, np.uint64((1 << BITS) - 1)
+    for begin in range(0, n, lanes):
+        x = states[: min(lanes, n - begin)]
+        slot = x & low
+        s = table.symbol[slot]
+        out[begin : begin + len(s)] = s
+        x = table.freq[s] * (x >> _B) + slot - table.start[s]
+        small = x < _LOW
+        m = int(np.count_nonzero(small))
+        if m:
+            x[small] = (x[small] << _32) | stream[at : at + m]
+            at += m
+        states[: len(x)] = x
+    if zlib.crc32(out.astype("<u4")) != crc:
+        raise ValueError("a record's tokens are damaged")
+    return out
+
+
+def _times(a: int, b: int) -> int:
+    """Product of two polynomials modulo that of CRC-32, in its bit order (highest power in the lowest bit)."""
+    out = 0
+    for power in range(31, -1, -1):
+        if a >> power & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def joined_crc(first: int, second: int, size: int) -> int:
+    """CRC-32 of two byte strings in a row, from theirs and the second's size."""
+    shift, square, power = 1 << 31, 1 << 23, size  # 1, and x**8
+    while power:
+        if power & 1:
+            shift = _times(shift, square)
+        square = _times(square, square)
+        power >>= 1
+    return _times(shift, first) ^ second

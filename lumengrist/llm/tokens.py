@@ -1,4 +1,8 @@
-"""Token ids by the tokenizers library, with a cache of pieces between white spaces."""
+"""Token ids by the tokenizers library, with a cache of words.
+
+The ids are those of the library's plain call with add_special_tokens=False; strings of the vocabulary's added tokens become these tokens,
+as is the library's default.
+"""
 
 from __future__ import annotations
 
@@ -10,53 +14,55 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Python's \s has these four, the tokenizer's pattern doesn't; texts that hold one are encoded in one go.
-_ODD = re.compile("[\x1c-\x1f]")
-#: Neither letters, digits, white space nor the apostrophe, which begins contractions.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: For RE2, in which \\s is ASCII: white space other than blank and line break, or any at an end or beside another; or no text.
-_UNEVEN = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]|\\A\\z"
-_MARK_SET = frozenset(_MARKS)
-_PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: For RE2, in which \\s is ASCII: white space other than blank and line break, or any at an end or beside another; the separator used
+#: below; or no text.
+_UNEVEN = "[\\t\\x01\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|\\A[ \\n]|[ \\n]\\z|[ \\n][ \\n]|\\A\\z"
+#: A letter, and ASCII marks but the apostrophe (which begins contractions) up to the end of a word.
+_MARKED = "([A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}\\x{391}-\\x{3a1}\\x{3a3}-\\x{3c9}\\x{410}-\\x{44f}])([!-&(-/:-@\\[-`{-~]+)([ \\n]|\\z)"
 
 
 class Encoder:
     """Encodes texts as the library does, much faster where words repeat.
 
-    The vocabulary's pattern never joins characters across the start of a white-space run, and what precedes a piece doesn't
-    change how it is cut. So the ids of a text are the ids of its pieces in a row; each new piece goes through the library, and
-    the ids of short pieces are kept. Two generations of `limit` pieces bound the memory.
+    The byte-level pattern never joins characters across the start of a white-space run, nor a letter with a mark after it, and what
+    precedes a piece doesn't change how it is cut. So a text with nothing but single blanks and line breaks between its words has the
+    ids of its words in a row; marks that end a word are pieces of their own. Each new piece goes through the library. The last
+    `limit` pieces or more, twice that at most, are kept as two Arrow arrays, so that a chunk's pieces are looked up at once.
 
-    With `added`, the strings of the vocabulary's added tokens become these tokens, as is the library's default; texts that hold
-    one are encoded in one go. Without, they are ordinary text.
+    All other texts, and all texts of vocabularies with another pre-tokenizer, go through the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 100_000, added: bool = False):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = not added
-        strings = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if added or not t.special]
-        self.odd = re.compile("|".join([_ODD.pattern, *strings]))
-        self.uneven = "|".join([_UNEVEN, *strings])
-        self.limit, self.young, self.old = limit, {}, {}
-        self.line = self._whole(["\n"])[0]
-        self.line_id = int(np.frombuffer(self.line, "<u4")[-1])
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.library = t = Tokenizer.from_file(path)
+        cuts = t.pre_tokenizer
+        if hasattr(t.model, "_resize_cache"):
+            t.model._resize_cache(0)  # the library sees each word once, so its own cache only costs
+        self.by_words = (
+            t.normalizer is None and isinstance(cuts, ByteLevel) and cuts.use_regex and not cuts.add_prefix_space and isinstance(t.model, BPE) and t.truncation is None and t.padding is None
+        ) and not t.model.continuing_subword_prefix and not t.model.end_of_word_suffix and not t.model.dropout
+        added = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
+        self.uneven = "|".join([_UNEVEN, *added])
+        self.limit = limit
+        self.words, self.ids, self.old = pa.array([], pa.string()), pa.array([], pa.binary()), 0
+        self.line = self._whole(["\n"])[0] if self.by_words else b""
+        self.line_id = int(np.frombuffer(self.line, "<u4")[-1]) if self.line else -1
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _new(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without line breaks: joined by these, encoded, and cut at their id."""
+        """Ids of pieces without white space but a blank at the front: joined by line breaks, encoded, and cut at these."""
         if len(self.line) != 4:
             return self._whole(pieces)
         got = []
-        groups = [pieces[i : i + 64] for i in range(0, len(pieces), 64)]
+        groups = [pieces[i : i + 128] for i in range(0, len(pieces), 128)]
         for group, e in zip(groups, self.library.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             cuts, raw = np.flatnonzero(ids == self.line_id).tolist(), ids.tobytes()
@@ -66,62 +72,58 @@ class Encoder:
                 got += [raw[4 * a + 4 : 4 * b] for a, b in zip([-1, *cuts], [*cuts, len(ids)], strict=True)]
         return got
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """A word and the marks after it are cut by the pattern anyway, so they are learnt apart."""
-        young, old = self.young, self.old
-        got = list(map(young.get, pieces))
-        lacking = [i for i, g in enumerate(got) if g is None]
-        if not lacking:
-            return got
-        asked, find = {}, old.get
-        for i in lacking:
-            p = pieces[i]
-            if (known := find(p)) is not None:
-                young[p] = known
-            elif p[-1:] in _MARK_SET and (word := p.rstrip(_MARKS)).lstrip(" ").isalpha():
-                asked[word] = asked[p[len(word) :]] = None
-            else:
-                asked[p] = None
-        young.update((p, old[p]) for p in asked if p in old)
-        asked = [p for p in asked if p not in young]
-        plain = [p for p in asked if p.isalnum() or p[1:].isalnum() and p[0] == " "]
-        rest = set(asked).difference(plain)
-        plain += [p for p in rest if p.strip() == p.lstrip(" ") != "" and "\n" not in p]
-        rest = list(rest.difference(plain))
-        young.update(zip(plain, self._new(plain), strict=True))
-        young.update(zip(rest, self._whole(rest), strict=True))
-        for i in lacking:
-            if (ids := young.get(p := pieces[i])) is None:
-                word = p.rstrip(_MARKS)
-                ids = young[word] + young[p[len(word) :]]
-            got[i] = ids
-        for p in asked:
-            if len(p) > 64:
-                del young[p]
-        if len(young) > self.limit:
-            self.young, self.old = {}, young
-        return got
+    def _learn(self, words: pa.Array) -> pa.Array:
+        """Ids of words as they come out of the cut: after a line break, marks after their word, or after a blank."""
+        line = pc.starts_with(words, "\n")
+        joined = pc.or_(line, pc.starts_with(words, "\x01"))
+        pieces = pc.if_else(joined, pc.utf8_replace_slice(words, 0, 1, ""), pc.binary_join_element_wise(" ", words, ""))
+        ids = pa.array(self._new(pieces.to_pylist()), pa.binary())
+        return pc.binary_join_element_wise(pc.if_else(line, pa.scalar(self.line, pa.binary()), pa.scalar(b"", pa.binary())), ids, b"")
+
+    def _lookup(self, words: pa.Array) -> pa.Array:
+        """The ids of different words, as binary values."""
+        at = pc.index_in(words, value_set=self.words)
+        lacking = pc.is_null(at)
+        new = words.filter(lacking)
+        if len(new):
+            ids = self._learn(new)
+            seen = len(self.words)
+            short = pc.less_equal(pc.binary_length(new), 64)
+            place = np.flatnonzero(lacking.to_numpy(zero_copy_only=False))
+            where = at.fill_null(0).to_numpy().copy()
+            where[place] = np.arange(seen, seen + len(new))
+            out = pa.concat_arrays([self.ids, ids]).take(pa.array(where))
+            self.words, self.ids = pa.concat_arrays([self.words, new.filter(short)]), pa.concat_arrays([self.ids, ids.filter(short)])
+            if len(self.words) - self.old > self.limit:  # what came before the last `limit` goes
+                self.words, self.ids = (pa.concat_arrays([x.slice(self.old)]) for x in (self.words, self.ids))
+                self.old = len(self.words)
+            return out
+        return self.ids.take(at)
 
     def encode(self, text: str) -> bytes:
         """The ids of one text as little-endian unsigned 32-bit integers."""
-        if self.odd.search(text):
-            return self._whole([text])[0]
-        return b"".join(self._ids(_PIECE.findall(text)))
+        return self._whole([text])[0]
 
     def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
-        """The ids of each text. Texts with nothing but single blanks and line breaks between words are cut and looked up in bulk."""
-        regular = pc.invert(pc.match_substring_regex(texts, self.uneven)).to_numpy(zero_copy_only=False).astype(bool)
-        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", texts.filter(pa.array(regular)), "\n"), "\n", " \n"), " ")
+        """The ids of each text."""
+        if not self.by_words:
+            yield from self._whole(texts.to_pylist())
+            return
+        even = pc.invert(pc.match_substring_regex(texts, self.uneven))
+        marked = pc.replace_substring_regex(texts.filter(even), _MARKED, "\\1 \x01\\2\\3")
+        cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", marked, "\n"), "\n", " \n"), " ")
         words = pc.dictionary_encode(cut.flatten())
-        words_list = words.dictionary.to_numpy(zero_copy_only=False).tolist()  # the empty one stands before each text's added line break
-        ids = self._ids([w[1:] if w[:1] == "\n" else " " + w if w else "" for w in words_list])
-        ids = pa.array([self.line + x if w[:1] == "\n" else x for w, x in zip(words_list, ids, strict=True)], pa.binary())
-        every = ids.take(words.indices)
+        listed = words.dictionary
+        full = pc.greater(pc.binary_length(listed), 0)  # the empty one stands before each text's added line break
+        where = np.cumsum(full.to_numpy(zero_copy_only=False)) - 1
+        ids = pa.concat_arrays([self._lookup(listed.filter(full)), pa.array([b""], pa.binary())])
+        where[~full.to_numpy(zero_copy_only=False)] = len(ids) - 1
+        every = ids.take(pa.array(where[words.indices.to_numpy()]))
         _, offsets, data = every.buffers()
         at = np.frombuffer(offsets, "<i4")[every.offset : every.offset + len(every) + 1] if len(every) else np.zeros(1, "<i4")
-        ends = at[np.frombuffer(cut.buffers()[1], "<i4")[cut.offset : cut.offset + len(cut) + 1] - (cut.offset and cut.offsets[0].as_py())].tolist()
+        ends = at[np.frombuffer(cut.buffers()[1], "<i4")[cut.offset : cut.offset + len(cut) + 1] - (cut.offset and cut.offsets[0].as_py())].tolist() if len(cut) else [0]
         skip, i = len(self.line), 0
-        for ok, text in zip(regular.tolist(), texts, strict=True):
+        for ok, text in zip(even.to_pylist(), texts, strict=True):
             if ok:
                 yield data[ends[i] + skip : ends[i + 1]].to_pybytes()
                 i += 1
@@ -130,9 +132,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, added: bool) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One for each Python worker; workers live on from task to task."""
-    return Encoder(path, added=added)
+    return Encoder(path)
 
 
 def vocabulary_path(path: str | None) -> str:
@@ -143,39 +145,15 @@ def vocabulary_path(path: str | None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, added: bool, chunk: int = 6 << 20) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, chunk: int = 8 << 20) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids with the end id) of rows (doc_id, text), about `chunk` bytes of text at a time."""
-    enc, end = encoder(vocabulary_path(path), added), np.array([end_id], "<u4").tobytes()
+    enc, end = encoder(vocabulary_path(path)), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1), "")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(ids):
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chunk)))
             for doc_id, raw in zip(ids[at:to], enc.encode_all(texts.slice(at, to - at)), strict=True):
                 yield doc_id, raw + end
             at = to
-
-
-def tokenise(docs: DataFrame, id_col: str, text_col: str, path: str | None, end_id: int, added: bool, chunk: int = 8 << 20) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids): ids as little-endian unsigned 16-bit integers where the vocabulary allows, else 32-bit (`wide`)."""
-
-    def run(batches):
-        rows, held = ([], [], [], []), 0
-        for doc_id, ids in encoded(batches, path, end_id, added):
-            a = np.frombuffer(ids, "<u4")
-            wide = bool(a.max() > 0xFFFF)
-            for column, value in zip(rows, (doc_id, len(a), wide, ids if wide else a.astype("<u2").tobytes()), strict=True):
-                column.append(value)
-            held += len(a)
-            if held > chunk // 2:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "n_tokens", "wide", "ids"])
-                rows, held = ([], [], [], []), 0
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["doc_id", "n_tokens", "wide", "ids"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, wide boolean, ids binary")
-
-
-def ids_of(raw: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4")
