@@ -1,7 +1,7 @@
 """Near-dedup: improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
-1. Document frequencies of all shingles (five words, lower-cased) are counted over all documents in 2**df_bits hashed counters.
-   A document touches the same share of counters in a corpus of any size, so the weights behave alike at every size.
+1. Document frequencies of all shingles (five words, lower-cased) are counted over all documents in 2**df_bits hashed counters. What a
+   counter has by chance, the same share of documents in a corpus of any size, is taken off, so the weights don't change as it grows.
 2. Weight of a shingle = its count times a damped inverse document frequency (see rarity). Each of bands * rows samples of a document comes from
    improved consistent weighted sampling: two documents draw the same with the probability of their weighted Jaccard similarity.
    The samples of a band make its key.
@@ -9,12 +9,14 @@
 4. Candidates are compared by their whole texts. First each key's bucket names a leader: the node that meets most others in its
    buckets, as the original of many near copies does. All members are compared with it, and links join classes (labels spread over
    links, then jump). Where a bucket still holds several classes, all its members of different classes are compared, block by block, as
-   products of matrices; so no link between candidates is lost, no pairs are made as rows, and no group grows with a bucket.
+   products of matrices; so no link between candidates is lost, no pairs are made as rows, and no group grows with a bucket: blocks are
+   bounded in nodes and bytes, and each gives the links that span its classes, not all.
 5. Every document gets its class: the smallest id in it, and its size.
 
 Defined cases: a text of fewer than five words is one shingle; a text without letters or digits is compared by its blank-separated
-parts; null, empty and blank texts are alone. The document with the smallest id stays (null ids last, ties by content); rows that
-repeat id and text have the same flag. Empty tables give empty results; other columns are ignored.
+parts; null, empty and blank texts are alone; very long texts are compared whole. The document with the smallest id stays (null ids last,
+ties by content); rows that repeat id and text have the same flag, and of those in a class keep_one keeps one. Empty tables give empty
+results; other columns, of any name, are kept by keep_one and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, load, maybe_member, shuffle_partitions, write_shared
+from .common import NO_ID, boxed, flagged, load, maybe_member, shuffle_partitions, unboxed, write_shared
 
 WORDS = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _32, _29 = np.uint64(32), np.uint64(29)
+#: What fewer than this share of all documents hold is rare.
+RARE = 1 / 256
+
 
 class _Words(dict):
     """Word -> its place in `hashes`, an array of 64-bit hashes; forgets all between texts when full."""
@@ -134,12 +139,17 @@ _CELL = 4096
 
 
 def rarity(df: np.ndarray, n: int) -> np.ndarray:
-    """1 + ln((1 + N) / (1 + df)) / ln(counters): from 1 for what all documents hold to 2 and less.
+    """1 + ln(1 / share) / ln(1 / RARE) of each counter, share being that of all documents, RARE at least: from 1 for what all documents
+    hold to 2 for what few do.
 
-    Undamped, the few shingles that an edit makes would weigh several times those of a text with thousands of copies, and large groups
-    of near copies would fall apart.
+    The share that a counter has by chance, from rare shingles that fall into it, is the median over the counters, whatever n. The
+    floor keeps what is left of chance out of the weights, and the divisor damps them: undamped, the few shingles that an edit makes
+    would weigh several times those of a text with thousands of copies, and large groups of near copies would fall apart.
     """
-    return (1 + np.log((1 + n) / (1 + df)) / np.log(len(df))).astype(np.float32)
+    share = df / max(n, 1)
+    chance = float(np.median(share))
+    own = np.clip((share - chance) / max(1 - chance, 1e-9), RARE, 1)
+    return (1 - np.log(own) / -np.log(RARE)).astype(np.float32)
 
 
 def idf_table(texts: DataFrame, df_bits: int) -> np.ndarray:
@@ -179,62 +189,65 @@ def idf_table(texts: DataFrame, df_bits: int) -> np.ndarray:
     return rarity(df, n)
 
 
-_SIGNED = "did long, th long, hi long, lo long, total double, bands array<bigint>"
+_SIGNED = "did long, th long, hi long, lo long, size long, total double, bands array<bigint>"
 
 
 def signatures(texts: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """texts (did, th, text) with the 128-bit hash of their words, total weight and band keys; a task gives the keys of equal texts
+    """texts (did, th, text) with the 128-bit hash of their words, size, total weight and band keys; a task gives the keys of equal texts
     once. No hash: no words."""
 
     def run(batches):
         sample, table, seen = Sampler(bands * rows), idf.value, set()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text in batch.column(2):
                 h = word_hashes(text.as_py())
+                size = 8 * len(h)
                 if not len(h):
-                    row = (None, None, None, None)
+                    row = (None, None, size, None, None)
                 else:
                     d = xxhash.xxh3_128_intdigest(h.tobytes())
                     hi, lo = (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)
                     if d in seen:
-                        row = (hi, lo, None, None)
+                        row = (hi, lo, size, None, None)
                     else:
                         if len(seen) > 500_000:
                             seen.clear()
                         seen.add(d)
                         u, n = shingles(h)
                         w = weights(u, n, table)
-                        row = (hi, lo, float(w.sum()), band_keys(sample(u, w), bands))
+                        row = (hi, lo, size, float(w.sum()), band_keys(sample(u, w), bands))
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["did", "th", "hi", "lo", "total", "bands"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["did", "th", "hi", "lo", "size", "total", "bands"])
 
     return texts.select("did", "th", "text").mapInArrow(run, _SIGNED)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Rows (a, b) of pairs (a, b) whose texts (node, text) reach the threshold."""
-    p = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float, block: int = 256) -> DataFrame:
+    """Rows (a, b), a < b, of written pairs (x, node) whose texts (node, text) reach the threshold. Leaders x with many members have these
+    in blocks; a leader's text goes once to each block, and a task streams over its blocks, leader first."""
+    sizes = pairs.groupBy("x").agg(F.count("*").alias("n")).select("x", F.expr(f"(n + {block - 1}) div {block}").alias("blocks"))
+    sizes = write_shared(sizes, "near-leaders")
+    members = pairs.join(sizes, "x").select("x", F.expr("pmod(xxhash64(node), blocks)").alias("part"), "node", F.lit(1).alias("side"))
+    leaders = sizes.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), F.col("x").alias("node"), F.lit(0).alias("side"))
+    rows = members.union(leaders).join(texts, "node").select("x", "part", "side", "node", "text")
 
     def run(batches):
-        table, held = idf.value, {}
-
-        def vector(node, text):
-            if node not in held:
-                if len(held) >= 64:
-                    held.clear()
-                u, n = shingles(word_hashes(text.as_py()))
-                held[node] = u, weights(u, n, table)
-            return held[node]
-
+        table, leader = idf.value, None
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = [weighted_jaccard(vector(b[i], batch.column(3)[i]), vector(a[i], batch.column(2)[i])) >= threshold for i in range(len(a))]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(good, pa.bool_())) for i in (0, 1)], ["a", "b"])
+            out = []
+            for x, side, node, text in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], batch.column(4), strict=True):
+                u, n = shingles(word_hashes(text.as_py()))
+                own = u, weights(u, n, table)
+                if not side:
+                    leader = own
+                elif weighted_jaccard(leader, own) >= threshold:
+                    out.append((min(x, node), max(x, node)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return p.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return rows.repartition("x", "part").sortWithinPartitions("x", "part", "side").mapInArrow(run, "a long, b long")
 
 
 def _counted_features(text, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +259,8 @@ def _counted_features(text, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links_of_block(nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, texts: list[str], idf: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links between side 0 and side 1, or within side 0 where there is no side 1, of nodes in different classes."""
+    """Of the links between side 0 and side 1, or within side 0 where there is no side 1, those that join the most classes: no more
+    than there are classes."""
     found = [_counted_features(t, idf) for t in texts]
     sizes = np.array([w.sum() for _, w in found], np.float64)
     every, at = np.unique(np.concatenate([f for f, _ in found]), return_inverse=True)
@@ -274,17 +288,31 @@ def _links_of_block(nodes: np.ndarray, labels: np.ndarray, sides: np.ndarray, te
         common += (parts[0] * weight[lo : lo + 4096]) @ parts[1].T
     ratio = common / (sizes[left][:, None] + sizes[right][None, :] - common)
     good = (ratio >= threshold) & (labels[left][:, None] != labels[right][None, :])
-    i, j = np.nonzero(good)
-    return [(int(min(x, y)), int(max(x, y))) for x, y in zip(nodes[left[i]], nodes[right[j]], strict=True)]
+    root, out = {x: x for x in labels.tolist()}, []
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i in range(len(left)):
+        for j in np.flatnonzero(good[i]).tolist():
+            p, q = find(int(labels[left[i]])), find(int(labels[right[j]]))
+            if p != q:
+                root[q] = p
+                x, y = int(nodes[left[i]]), int(nodes[right[j]])
+                out.append((min(x, y), max(x, y)))
+    return out
 
 
-def links_in_blocks(open_: DataFrame, texts: DataFrame, idf, threshold: float, block: int = 128) -> DataFrame:
-    """All links (a, b) between nodes of different classes that share a bucket; open_: (key, node, label) of the buckets.
+def links_in_blocks(open_: DataFrame, texts: DataFrame, idf, threshold: float, block: int = 256, block_bytes: int = 2 << 20) -> DataFrame:
+    """Links (a, b) that join all nodes of different classes which share a bucket and are similar; open_: (key, node, label, size), written.
 
-    A bucket is cut into blocks of about `block` nodes, and each pair of blocks is compared at once, by a product of matrices in one group. No
-    pairs are made as rows: a node is sent as often as its bucket has blocks, and no group holds more than two blocks.
+    A bucket is cut into blocks of about `block` nodes or `block_bytes`, and each pair of blocks is compared at once, by a product of matrices
+    in one group. No pairs are made as rows: a node is sent as often as its bucket has blocks, and no group holds more than two blocks.
     """
-    sized = open_.groupBy("key").agg(F.count("*").alias("n")).withColumn("blocks", F.expr(f"cast((n + {block - 1}) div {block} AS int)"))
+    sized = open_.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    sized = write_shared(sized.select("key", F.expr(f"cast(greatest((n + {block - 1}) div {block}, bytes div {block_bytes} + 1) AS int)").alias("blocks")), "near-open")
     own = open_.join(sized, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) AS int)"))
     other = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = other.select("key", "node", "label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when((F.col("own") <= F.col("other")), 0).otherwise(1).alias("side"))
@@ -313,22 +341,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(entries: DataFrame, totals: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """(node, label) of nodes with links. entries (key, node): band keys that nodes share; totals (node, total)."""
-    met = entries.join(entries.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("met"))
-    own = write_shared(entries.join(met.join(totals, "node"), "node"), "near-entries")
+def classes(entries: DataFrame, nodes: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(node, label) of nodes with links. entries (key, node, n): band keys that n nodes share; nodes (node, total, size). What is joined
+    by key is written before, so that adaptive execution can split a hot one."""
+    met = entries.groupBy("node").agg(F.sum("n").alias("met"))
+    own = write_shared(entries.select("key", "node").join(met.join(nodes, "node"), "node"), "near-entries")
     leader = own.groupBy("key").agg(F.max(F.struct("met", "node", "total")).alias("m")).select("key", F.col("m.node").alias("x"), F.col("m.total").alias("other"))
+    leader = write_shared(leader, "near-leader")
     fits = F.least("total", "other") >= (threshold - 1e-3) * F.greatest("total", "other")
-    pairs = own.join(leader, "key").where((F.col("node") != F.col("x")) & fits).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    pairs = own.join(leader, "key").where((F.col("node") != F.col("x")) & fits).select("x", "node").distinct()
     links = write_shared(similar(write_shared(pairs, "near-pairs"), texts, idf, threshold), "near-links")
     labels = components(links)
-    own = write_shared(own.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "near-entries")
-    apart = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    more = write_shared(links_in_blocks(own.join(apart, "key", "left_semi"), texts, idf, threshold), "near-links")
+    own = write_shared(own.select("key", "node", "size").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "near-entries")
+    apart = write_shared(own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "near-apart")
+    open_ = write_shared(own.join(apart, "key", "left_semi"), "near-undecided")
+    more = write_shared(links_in_blocks(open_, texts, idf, threshold), "near-links")
     return components(links.union(more)) if not more.isEmpty() else labels
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 12, rows: int = 4, threshold: float = THRESHOLD, df_bits: int = 20, filter_bits: int = 24) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 12, rows: int = 4, threshold: float = THRESHOLD, df_bits: int = 20) -> DataFrame:
     """did (the id, 2**63-1 for null), th (xxhash64 of the text), doc_id, class_id, class_size and kept of every row."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -336,16 +367,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     idf = spark.sparkContext.broadcast(idf_table(source, df_bits))
     signed = write_shared(signatures(source, idf, bands, rows), "near-signatures")
     first = F.min(F.struct("did", "th"))
-    nodes = signed.where("hi IS NOT NULL").groupBy("hi", "lo").agg(first.alias("rep"), F.count("*").alias("copies"), F.max("total").alias("total"))
+    nodes = signed.where("hi IS NOT NULL").groupBy("hi", "lo").agg(first.alias("rep"), F.count("*").alias("copies"), F.max("total").alias("total"), F.max("size").alias("size"))
     nodes = write_shared(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     keys = signed.where("bands IS NOT NULL").select("hi", "lo", F.explode("bands").alias("key")).join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("key", "node").distinct()
     keys = write_shared(keys, "near-keys")
-    entries = write_shared(keys.join(keys.groupBy("key").count().where("count > 1").select("key"), "key"), "near-shared")
+    shared = write_shared(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    entries = write_shared(keys.join(shared, "key"), "near-entries")
     wanted = entries.select("node").distinct().join(nodes, "node").select("node", F.col("rep.did").alias("did"), F.col("rep.th").alias("th"))
     wanted = write_shared(wanted, "near-wanted")
-    texts = maybe_member(source, "th", wanted.select("th"), filter_bits).join(wanted, ["did", "th"]).select("node", "text").dropDuplicates(["node"])
+    texts = maybe_member(source, "th", wanted.select("th")).join(wanted, ["did", "th"]).select("node", "text").dropDuplicates(["node"])
     texts = write_shared(texts, "near-texts", compression="zstd")
-    labels = classes(entries, nodes.select("node", "total"), texts, idf, threshold)
+    labels = classes(entries, nodes.select("node", "total", "size"), texts, idf, threshold)
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = labelled.groupBy("label").agg(F.min("rep").alias("keep"), F.sum("copies").alias("class_size"))
     members = write_shared(labelled.join(groups, "label").select("hi", "lo", "keep", "class_size"), "near-classes")
@@ -355,18 +387,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("did", "th", real(F.col("did")).alias("doc_id"), real(F.coalesce("keep.did", "did")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), kept.alias("kept"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each class. The dropped rows' (id, text hash) are the hash join's build side."""
-    found = write_shared(near_dedup(docs, **options), "near-result")
-    own = [F.col("did").alias("_near_did"), F.col("th").alias("_near_th")]
-    key = ["_near_did", "_near_th"]
-    gone = found.where("NOT kept").select(*own).distinct()
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumns({"_near_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_near_th": F.xxhash64(text)}).join(gone.hint("shuffle_hash"), key, "left_anti")
-    repeated = found.where("kept AND class_size > 1").groupBy("did", "th").count().where("count > 1")
-    if not repeated.isEmpty():
-        out = out.dropDuplicates(key)  # rows that repeat id and text
-    return out.select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each class. Only documents that may be touched meet their marks in a join."""
+    found = write_shared(near_dedup(docs, id_col, text_col, **options), "near-result")
+    again = F.count_if(F.col("kept") & (F.col("class_size") > 1)) > 1
+    marks = found.groupBy("did", "th").agg(F.bool_or(~F.col("kept")).alias("gone"), again.alias("again")).where("gone OR again")
+    marks = write_shared(marks, "near-marks")
+    did, th = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    own = flagged(boxed(docs, did=did, th=th), "th", marks.select("th"))
+    met = own.where("maybe").join(marks, ["did", "th"], "left")
+    out = own.where("NOT maybe").select("row").union(met.where("gone IS NULL").select("row"))
+    if not marks.where("again AND NOT gone").isEmpty():  # rows that repeat id and text: one stays
+        out = out.union(met.where("again AND NOT gone").groupBy("did", "th").agg(F.first("row").alias("row")).select("row"))
+    return unboxed(out, docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

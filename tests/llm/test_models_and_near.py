@@ -1,8 +1,10 @@
 """Near-dedup against brute force; the learnt models by held-out accuracy; the pipeline; the defined cases of all."""
 
+import math
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -15,16 +17,21 @@ from lumengrist.llm.common import load
 from ..conftest import SF
 
 
+def own_shingles(text):
+    words = re.findall(r"\w+", text.lower()) or text.split()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
 def brute_classes(texts):
-    v = [near_dedup.shingles(near_dedup.word_hashes(t)) for t in texts]
-    df = np.zeros(1 << 20, np.int64)
-    for u, _ in v:
-        df[u >> np.uint64(44)] += 1
-    idf = near_dedup.rarity(df, len(v))
-    w = [(u, near_dedup.weights(u, n, idf)) for u, n in v]
+    """Exact document frequencies, the weights of the docstring, weighted Jaccard of all pairs that share a shingle."""
+    bags = [own_shingles(t) for t in texts]
+    df = Counter(x for bag in bags for x in bag)
+    weight = {x: 1 + math.log(len(texts) / n) / math.log(256) if n * 256 > len(texts) else 2.0 for x, n in df.items()}
+    vectors = [{x: c * weight[x] for x, c in bag.items()} for bag in bags]
+    totals = [sum(v.values()) for v in vectors]
     holders = defaultdict(list)
-    for i, (u, _) in enumerate(w):
-        for x in u.tolist():
+    for i, v in enumerate(vectors):
+        for x in v:
             holders[x].append(i)
     root = list(range(len(texts)))
 
@@ -33,14 +40,27 @@ def brute_classes(texts):
             x = root[x]
         return x
 
-    pairs = {(i, j) for held in holders.values() if len(held) < 400 for i in held for j in held if i < j}
+    pairs = {(i, j) for held in holders.values() for i in held for j in held if i < j}
     for i, j in sorted(pairs):
-        if near_dedup.weighted_jaccard(w[i], w[j]) >= 0.8:
+        common = sum(min(w, vectors[j].get(x, 0)) for x, w in vectors[i].items())
+        if common >= 0.8 * (totals[i] + totals[j] - common):
             a, b = sorted((find(i), find(j)))
             root[b] = a
     return [find(i) for i in range(len(texts))]
 
 
+def test_weights_in_a_corpus_of_any_size():
+    """The weight of a shingle follows its share of the documents, whatever the counters hold by chance."""
+    rng = np.random.default_rng(3)
+    for n in (10**3, 10**6, 10**9):
+        df = rng.poisson(n * 300 / (1 << 20), 1 << 20).astype(np.int64)
+        shares = np.array([0.9, 0.3, 0.05, 0.02, 0.005])
+        df[:5] += (n * shares).astype(np.int64)
+        got = near_dedup.rarity(df, n)
+        assert np.abs(got[:5] - (1 - np.log(shares) / np.log(256))).max() < 0.06, n
+        assert (got[5:] > 1.95).mean() > 0.999, n
+
+
 def test_near_brute_force(spark):
     docs = load(spark, SF, "documents")
     rows = docs.orderBy("doc_id").collect()
@@ -74,6 +94,33 @@ def test_near_hot_group(spark):
     assert near_dedup.near_dedup(df.limit(0)).count() == near_dedup.keep_one(df.limit(0)).count() == 0
 
 
+CLASHING = ["row", "did", "th", "maybe", "gone", "again", "kept", "class_size", "_near_did", "_near_th", "n"]
+
+
+@pytest.mark.parametrize("more", [[], [(9, "u v w"), (9, "u v w")], [(9, "u v w"), (9, "u v w"), (8, "u v w"), (8, None), (8, None)]])
+def test_keep_one_loses_no_row(spark, more):
+    """Texts without words stay as often as they are, whatever else the table holds."""
+    rows = [(5, ""), (5, ""), (6, "x y z"), *more]
+    df = spark.createDataFrame([(i, t, *CLASHING) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING)).repartition(3)
+    kept = near_dedup.keep_one(df)
+    assert kept.schema == df.schema
+    got = kept.collect()
+    want = [(5, ""), (5, ""), (6, "x y z")] + ([(8 if len(more) > 2 else 9, "u v w")] if more else []) + ([(8, None)] * 2 if len(more) > 2 else [])
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+    assert all(r[c] == c for r in got for c in CLASHING)
+
+
+def test_blocks_span_their_classes():
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base[:i] + [f"x{rng.random()}"] + base[i + 1 :]) for i in rng.sample(range(200), 40)] + ["a b c d e f"]
+    nodes = np.arange(len(texts)) + 100
+    idf = np.full(1 << 20, 2, np.float32)
+    links = near_dedup._links_of_block(nodes, nodes, np.arange(len(texts)) % 2, texts, idf, 0.8)
+    assert len(links) == 39
+    assert near_dedup._links_of_block(nodes, np.zeros(len(texts), int), np.zeros(len(texts), int), texts, idf, 0.8) == []
+
+
 def test_sampling_meets_weighted_jaccard():
     rng = np.random.default_rng(0)
     u = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
