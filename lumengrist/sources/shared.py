@@ -74,4 +74,5 @@ def numbered(df: DataFrame, order: list[str], number: str = "line_num", running:
         value = F.row_number().over(own) + F.col("_before")
     else:
         value = F.coalesce(F.sum(running).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_before")
-    return dealt.join(F.broadcast(before), "_part").withColumn(number, value.cast("long")).drop("_part", "_before")  # a row for each partition
+    value = value.cast("long") if running is None else value
+    return dealt.join(F.broadcast(before), "_part").withColumn(number, value).drop("_part", "_before")  # a row for each partition
