@@ -2,7 +2,7 @@
 
 Targets: `share` of all sizes is dealt out by weight; a source is full at `cap` times its size, and what it can't take is dealt out
 again by weight until none is above. With the sources in order of capacity by weight, the full ones come first, so one running
-sum over the sources finds the water level.
+sum over the sources, dealt by range, finds the water level.
 
 Sampling: target = whole repetitions of the source + a rest of less than one. A seeded hash of the id orders each source's
 documents; those below a threshold are repeated once more, and the document on the threshold gives the words that still lack, so
@@ -12,7 +12,8 @@ what each document gives follows from its own row and its source's plan: texts a
 
 Defined cases: null text has size 0; null source is a source, last; a null id hashes as the empty string; documents with the same
 hash (repeated ids) on the threshold share what lacks in proportion to their sizes, rounded down; a source of size 0 has target 0;
-empty tables give empty results; other columns are kept by mix() and ignored by mixing_plan().
+very long texts count whole and are cut between words; empty tables give empty results; other columns, of any name, are kept by mix() and
+ignored by mixing_plan().
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, write_shared
+from ..sources.shared import numbered
+from .common import boxed, field, load, unboxed, write_shared
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -39,21 +41,21 @@ def seeded(doc_id: Column, seed: int) -> Column:
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """sources (source, source_size) with target. Works on a row for each source."""
-    w = Window.orderBy(F.col("source").asc_nulls_last())
-    everything = Window.partitionBy(F.lit(0))
-    by = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(w) - 1) % len(weights) + 1).cast("int"))
-    s = sources.withColumn("weight", by).withColumn("room", F.lit(cap) * F.col("source_size"))
-    s = s.withColumn("total", F.lit(share) * F.sum("source_size").over(everything))
-    order = Window.orderBy(F.col("room") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("room").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    s = s.withColumn("left", F.col("total") - before).withColumn("rest", rest)
+    """sources (source, source_size) with target. Works on a row for each source; orders and running sums are dealt by range, so that
+    millions of sources are no single task's."""
+    s = numbered(sources.withColumn("last", F.col("source").isNull()), ["last", "source"], "n")
+    by = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
+    s = s.withColumn("weight", by).withColumn("room", F.lit(cap) * F.col("source_size")).withColumn("ratio", F.col("room") / F.col("weight"))
+    s = write_shared(s, "mix-sources")
+    order = ["ratio", "n"]
+    s = numbered(numbered(s, order, "before", F.col("room")), order, "lighter", F.col("weight"))
+    sums = F.broadcast(s.agg(F.sum("source_size").alias("sizes"), F.sum("weight").alias("weights")))  # one row
+    s = s.join(sums).withColumn("left", F.lit(share) * F.col("sizes") - F.col("before")).withColumn("rest", F.col("weights") - F.col("lighter"))
     open_ = F.col("room") * F.col("rest") > F.col("left") * F.col("weight")  # the level stays below this source's room
-    first = Window.orderBy(F.when(open_, 0).otherwise(1), F.col("room") / F.col("weight"), F.col("source").asc_nulls_last())
-    s = s.withColumn("open", open_).withColumn("level_left", F.first(F.when(F.col("open"), F.col("left")), ignorenulls=True).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    s = s.withColumn("level_rest", F.first(F.when(F.col("open"), F.col("rest")), ignorenulls=True).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    filled = F.col("level_left") * F.col("weight") / F.col("level_rest")
+    s = write_shared(s.withColumn("open", open_), "mix-levels")
+    level = s.where("open").agg(F.min(F.struct(*order, "left", "rest")).alias("level"))
+    s = s.join(F.broadcast(level))  # one row
+    filled = F.col("level.left") * F.col("weight") / F.col("level.rest")
     return s.select("source", "source_size", F.coalesce(F.when(F.col("open"), F.least("room", filled)), "room").alias("target"))
 
 
@@ -114,19 +116,19 @@ def mixing_report(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WE
 def mix(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: docs' columns, a row for each repetition. A document on the threshold gives its first words once."""
     sized = write_shared(sized_documents(docs, seed), "mix-sizes")
-    out = with_plan(docs.withColumn("_h", seeded(F.col("doc_id"), seed)), mixing_plan(sized, weights, share, cap), "source")
-    cut = (F.col("_h") == F.col("_edge")) & (F.col("_lacking") < F.col("_edge_words"))
-    n = F.when(cut, _more(f"bigint(regexp_count(coalesce(text, ''), r'{WORD}'))", "_h")).otherwise(F.lit(0)).cast("int")
-    copies = (F.col("_whole") + F.when(F.col("_h") < F.col("_edge"), 1).when(F.col("_h") == F.col("_edge"), 1).otherwise(0)).cast("int")
-    out = out.withColumn("_first", n).withColumn("_copies", copies - F.when(cut & (F.col("_first") == 0), 1).otherwise(0))
-    out = out.where("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    part = (F.col("_first") > 0) & (F.col("_k") == F.col("_copies"))
-    words = F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.greatest(F.col("_first"), F.lit(1)))
-    text = F.when(part, F.array_join(words, "")).otherwise(F.col("text"))
+    out = with_plan(boxed(docs, h=seeded(F.col("doc_id"), seed), source=F.col("source")), mixing_plan(sized, weights, share, cap), "source")
+    cut = (F.col("h") == F.col("_edge")) & (F.col("_lacking") < F.col("_edge_words"))
+    n = F.when(cut, _more(f"bigint(regexp_count(coalesce(row.text, ''), r'{WORD}'))", "h")).otherwise(F.lit(0)).cast("int")
+    copies = (F.col("_whole") + F.when(F.col("h") < F.col("_edge"), 1).when(F.col("h") == F.col("_edge"), 1).otherwise(0)).cast("int")
+    out = out.withColumn("first", n).withColumn("copies", copies - F.when(cut & (F.col("first") == 0), 1).otherwise(0))
+    out = out.where("copies > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    part = (F.col("first") > 0) & (F.col("k") == F.col("copies"))
+    words = F.slice(F.regexp_extract_all(field("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), 1, F.greatest(F.col("first"), F.lit(1)))
+    text = F.when(part, F.array_join(words, "")).otherwise(field("text"))
     new = {"text": text}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(part, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumns(new).select(*docs.columns)
+        new["n_chars"] = F.when(part, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(field("n_chars"))
+    return unboxed(out, docs.columns, new)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumengrist.llm import chat_format, mixing, topk_search
 
@@ -62,6 +63,40 @@ def test_mixing_cases(spark):
     assert mixing.mix(df.limit(0)).count() == mixing.mixing_report(df.limit(0)).count() == 0
 
 
+CLASHING = ["row", "h", "k", "first", "copies", "_source", "_target", "_whole", "_lacking", "_edge", "_edge_words", "_source_size", "_h", "_k", "_first", "_copies"]
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    plain = mix_table(spark, DOCS)
+    df = plain.withColumns({c: F.lit(c) for c in CLASHING})
+    mixed = mixing.mix(df)
+    assert mixed.schema == df.schema
+    rows = mixed.collect()
+    assert all(r[c] == c for r in rows for c in CLASHING)
+    assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == sorted(((r["doc_id"], r["text"]) for r in mixing.mix(plain).collect()), key=str)
+
+
+def test_many_sources(spark):
+    """Water-filling over more sources than a broadcast takes is the same."""
+    rng = np.random.default_rng(1)
+    sizes = {f"s{i:05d}": int(n) for i, n in enumerate(rng.pareto(1, 3000) * 5)}
+    names = sorted(sizes)
+    weights = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    want = fill(sizes, weights, 1.5 * sum(sizes.values()))
+    got = {r["source"]: r["target"] for r in mixing.water_fill(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), mixing.WEIGHTS, 1.5, 2.0).collect()}
+    assert set(got) == set(want)
+    assert max(abs(got[s] - want[s]) for s in names) < 1e-6
+
+
+def test_mix_long_text(spark):
+    df = mix_table(spark, [(1, "word " * 400_000, "a"), (2, "other " * 7, "b")])
+    report = {r["doc_id"]: r["taken"] for r in mixing.mixing_report(df).collect()}
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r["doc_id"]] += len(WORDS.findall(r["text"]))
+    assert taken == report
+
+
 def chats(spark, rows):
     return spark.createDataFrame([(*r, 0, "x") for r in rows], "conv_id long, turn long, role string, text string, rank int, block string").repartition(3)
 
@@ -81,6 +116,33 @@ def test_chat_cases(spark, block):
     assert chat_format.chat_format(chats(spark, rows).limit(0)).count() == 0
 
 
+def brute_chats(rows):
+    lists = {}
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "unknown", r[3] or "")):
+        lists.setdefault(c, []).append((role or "unknown", text or ""))
+    whole = Counter(tuple(x) for x in lists.values())
+    inner = {tuple(x[:n]) for x in lists.values() for n in range(1, len(x))}
+    out = {}
+    for c, x in lists.items():
+        if tuple(x) not in inner:
+            ids = [d for d, y in lists.items() if y == x]
+            out[min((d for d in ids if d is not None), default=None)] = (len(x), whole[tuple(x)], "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in x))
+    return out
+
+
+def test_chat_ties_and_a_hot_conversation(spark):
+    """Most rows in one conversation, turns that share a number, snapshots cut inside such turns, repeated rows."""
+    rng = np.random.default_rng(2)
+    hot = conversation(1, [f"turn {n}" for n in range(3000)])
+    rows = hot + [(2, *r[1:]) for r in hot[:1500]] + [(3, *r[1:]) for r in hot[:1024]]
+    rows += [(4, 1, "user", "b"), (4, 1, "user", "a"), (4, 2, "user", "c"), (5, 1, "user", "a"), (6, 1, "user", "a"), (6, 2, "user", "b"), (7, 1, "user", "b")]
+    rows += [(8, None, "x", "z"), (8, None, "x", "y"), (8, None, None, "y"), (9, 5, "x", "r"), (9, 5, "x", "r"), (10, 5, "x", "r"), (11, 0, "user", "long " * 300_000)]
+    rows += [(int(c), int(t), "user", str(x)) for c, t, x in zip(rng.integers(20, 60, 300), rng.integers(0, 4, 300), rng.integers(0, 3, 300), strict=True)]
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["chat"]) for r in chat_format.chat_format(chats(spark, rows), 64).collect()}
+    assert got == brute_chats(rows)
+    assert {2, 3, 5} & set(got) == set()
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, score int, rank int").repartition(3)
 
@@ -111,3 +173,51 @@ def test_topk_large_numbers(spark):
     exact = [(i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]) for i, v in rows]
     want = sorted((-sum(a * b for a, b in zip(exact[0][1], v, strict=True)), i) for i, v in exact[1:])
     assert [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(i, -s) for s, i in want]
+
+
+def test_topk_beyond_all_integers(spark):
+    """One huge component changes nothing for other rows, and its scores are the nearest BIGINTs."""
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=4).astype(np.float32)]) for i in range(60)] + [(70, [1e30, 0.0, 0.0, 0.0]), (100, [-1e30, 1.0, 2.0, 3e38])]
+    got = topk_search.top_k(vectors(spark, rows), lambda i: i % 50 == 0).collect()
+    v = {i: [int(np.floor(256 * np.float64(np.float32(x)))) for x in x] for i, x in rows}
+    top = lambda n: max(-(1 << 63), min((1 << 63) - 1, n))
+    held = lambda n: max(-(10**38) + 1, min(10**38 - 1, n))
+    want = []
+    for q in (0, 50, 100):
+        scores = sorted((-held(sum(a * b for a, b in zip(v[q], w, strict=True))), i) for i, w in v.items() if i != q)[:5]
+        want += [(q, r, i, top(-s)) for r, (s, i) in enumerate(scores, 1)]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_topk_collects_and_resolves_little(spark):
+    """The threshold leaves few entries, all that reach the cutoff are among them, and only missing parts are added up."""
+    rng = np.random.default_rng(9)
+    v = np.floor(256 * rng.normal(size=(6000, 16)))
+    own = topk_search.write_shared(spark.createDataFrame([(i, i, x.tolist()) for i, x in enumerate(v)], "row long, vec_id long, v array<double>").repartition(3), "test-vectors")
+    block = topk_search.QueryBlock(np.arange(0, 6000, 50), v[::50], 2)
+    totals = topk_search.best_totals(own, spark.sparkContext.broadcast(block), 5, 32)
+    assert totals.count() <= 5 * len(block.ids) * own.rdd.getNumPartitions()
+    block.cutoff = topk_search.cutoffs(totals, len(block.ids), 5)
+    shared = spark.sparkContext.broadcast(block)
+    found = topk_search.write_shared(topk_search.entries(own, shared), "test-entries")
+    pairs = len(block.ids) * len(v)
+    partial = found.where("known < 3")
+    assert 0 < found.count() < 0.1 * pairs
+    scores = v[::50] @ v.T
+    scores[np.arange(len(block.ids)), block.ids] = -np.inf
+    assert (np.sort(scores, axis=1)[:, -5] >= block.cutoff).all()
+    q, i = np.nonzero(scores >= block.cutoff[:, None])
+    assert set(zip(q.tolist(), i.tolist(), strict=True)) <= {(r["query_no"], r["row"]) for r in found.collect()}
+    for r in partial.limit(50).collect():
+        a, b = block.slabs[r["known"] - 1]
+        assert r["sum"] == int(block.vectors[r["query_no"], a:b] @ v[r["row"], a:b])
+    got = {(r["query_no"], r["vec_id"], r["score"]) for r in topk_search.resolved(partial, own, shared).collect()} | {(r["query_no"], r["vec_id"], r["sum"]) for r in found.where("known = 3").collect()}
+    assert got == {(a, b, int(scores[a, b])) for a, b in zip(q.tolist(), i.tolist(), strict=True)}
+
+
+def test_topk_many_equal_vectors(spark):
+    """A third of the rows hold one vector: a query's k best are those of the smallest ids."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else [float(x) for x in rng.normal(size=3).astype(np.float32)]) for i in range(600)] + [(3, [1.0, 2.0, 3.0])] * 9
+    assert sorted(map(tuple, topk_search.top_k(vectors(spark, rows), lambda i: i % 50 == 0).collect())) == brute(rows)
