@@ -10,9 +10,13 @@ coordinate with L1 and L2 penalties (follow-the-regularised-leader), thresholds
 `per_grade` labelled documents of each grade, chosen by hash. A drawn document counts for all those it was drawn from, so that the
 shares of the grades are those of all labels, however many are drawn.
 
+The sample is bounded twice: by `per_grade` documents of each grade, and by `most_entries` features in all (12 bytes each), beyond which
+fewer documents of all grades are taken, by the same hash.
+
 Defined cases: a text that is null or has no token gets grade 0 and tail probability 0; labels without rating, or whose document is
-missing, aren't used; without any usable label the scores are null and all documents are kept; rows that repeat an id count each;
-other columns are ignored.
+missing, aren't used; without any usable label the scores are null and all documents are kept; grades that no label has have probability
+0, so nothing is kept if keep_grade is one; rows that repeat an id count each; very long texts are read whole; empty tables give empty
+results; other columns, of any name, are kept by score().
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import boxed, field, load, write_shared
 
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
@@ -69,6 +73,19 @@ def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at[order], np.fromiter(x.values(), float, len(x))[order]
 
 
+def sample_features(rows: DataFrame) -> DataFrame:
+    """(doc_id, grade, at, x) of rows (doc_id, grade, text): slots as unsigned 32-bit integers, values as doubles."""
+
+    def run(batches):
+        for batch in batches:
+            found = [vector(text.as_py() or "") for text in batch.column(2)]
+            columns = [pa.array([at.astype("<u4").tobytes() for at, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "grade", "at", "x"])
+
+    out = "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", grade " + rows.schema["grade"].dataType.simpleString() + ", at binary, x binary"
+    return rows.mapInArrow(run, out)
+
+
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each slot, over all rows (text), and the number of rows."""
 
@@ -167,7 +184,7 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], stands_for: np.ndar
     return Model(weights(slice(None)), thresholds)
 
 
-def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, min_documents: int = 5, epochs: int = 10, alpha: float = 1.0, l1: float = 4.0, l2: float = 0.05, step: float = 0.02, seed: int = 11) -> Model | None:
+def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, most_entries: int = 16 << 20, min_documents: int = 5, epochs: int = 10, alpha: float = 1.0, l1: float = 4.0, l2: float = 0.05, step: float = 0.02, seed: int = 11) -> Model | None:
     """docs (doc_id, text), graded (doc_id, grade 0, 1, ...). None without labels."""
     graded = graded.where("grade IS NOT NULL AND doc_id IS NOT NULL")
     sizes = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}  # a row for each grade
@@ -180,13 +197,13 @@ def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, min_documen
         stands_for[grade] = max(1.0, count / per_grade)
     drawn = graded.where(draw < share).select(F.col("doc_id").alias("_id"), "grade")  # about per_grade rows for each grade
 
-    @F.udf("at binary, x binary")
-    def hashed(text):
-        at, x = vector(text or "")
-        return at.tobytes(), x.tobytes()
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "grade", hashed("text").alias("v")).collect()
-    samples = [(r["grade"], np.frombuffer(r["v"]["at"], np.int64), np.frombuffer(r["v"]["x"], float)) for r in sorted(rows, key=lambda r: (r["doc_id"], r["grade"]))]
+    rows = sample_features(docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "grade", "text"))
+    rows = write_shared(rows, "quality-sample")
+    total = rows.agg(F.sum(F.octet_length("at") / 4)).first()[0] or 0
+    if total > most_entries:
+        rows = rows.where(draw < share * (most_entries / total))
+        stands_for = stands_for * (total / most_entries)
+    samples = [(r["grade"], np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["x"], float)) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["grade"], r["at"], r["x"]))]  # most_entries features at most
     if not samples:
         return None
     held, n = document_frequency(docs)
@@ -197,10 +214,12 @@ def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, min_documen
     return Model(model.weights * scale, model.thresholds)
 
 
-def score(docs: DataFrame, model: Model | None, keep_grade: int = 2, keep_at: float = 0.5) -> DataFrame:
-    """docs with expected_grade, tail_probability (of keep_grade or more) and kept."""
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_grade: int = 2, keep_at: float = 0.5) -> DataFrame:
+    """docs with expected_grade, tail_probability (of keep_grade or more) and kept, in place of columns of these names."""
+    own = [field(c).alias(c) for c in docs.columns if c not in ("expected_grade", "tail_probability", "kept")]
     if model is None:
-        return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "tail_probability": F.lit(None).cast("double"), "kept": F.lit(True)})
+        nothing = F.lit(None).cast("double")
+        return boxed(docs).select(*own, nothing.alias("expected_grade"), nothing.alias("tail_probability"), F.lit(True).alias("kept"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("grade double, tail double")
@@ -208,10 +227,10 @@ def score(docs: DataFrame, model: Model | None, keep_grade: int = 2, keep_at: fl
         import pandas as pd
 
         tails = [shared.value.tails(t or "") for t in texts]
-        return pd.DataFrame({"grade": [sum(t) for t in tails], "tail": [t[min(keep_grade, len(t)) - 1] if t else 1.0 for t in tails]})
+        return pd.DataFrame({"grade": [sum(t) for t in tails], "tail": [1.0 if keep_grade < 1 else t[keep_grade - 1] if keep_grade <= len(t) else 0.0 for t in tails]})
 
-    out = docs.withColumn("_g", grade("text")).withColumns({"expected_grade": F.col("_g.grade"), "tail_probability": F.col("_g.tail")})
-    return out.withColumn("kept", F.col("tail_probability") >= keep_at).drop("_g")
+    scored = boxed(docs, g=grade(text_col))
+    return scored.select(*own, F.col("g.grade").alias("expected_grade"), F.col("g.tail").alias("tail_probability"), (F.col("g.tail") >= keep_at).alias("kept"))
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:
