@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), docs having the columns of documents, and returns a DataFrame, which is written as Parquet to the
 shared folder and read again as the next stage's docs. All stages but the last return the columns of documents.
+
+Defined cases: documents whose text is null or without letters are rejected by the first stage, so later ones don't see them; null ids,
+sources and languages stay as they are; rows that repeat id and text are near copies of each other, and one stays; very long texts go
+through every stage whole; ties go by id; an empty table gives no pieces; further columns of documents, of any name, are kept up to the
+last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumengrist.llm import language_id, line_dedup, mixing, near_dedup, packing
-from lumengrist.llm.common import load, write_shared
+from lumengrist.llm.common import boxed, load, unboxed, write_shared
 
 #: A document is rejected as of no known language below this calibrated probability.
 LEAST_SCORE = 0.5
@@ -22,8 +27,8 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.learn_from_documents(docs)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    said = language_id.identify(docs, model, lang="_lang", score="_score")
-    return said.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    said = language_id.identify(boxed(docs, text=F.col("text")), model)
+    return unboxed(said.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

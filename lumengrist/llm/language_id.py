@@ -8,8 +8,9 @@ drawn one stands for is then added for each language, so that scores follow the
 many are drawn. A prediction uses the text only.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is everything while nothing can be learnt; documents
-without id are never learnt from and not held out; repeated rows count each; other columns are ignored. More than `max_languages`
-different labels are an error.
+without id are never learnt from and not held out; repeated rows count each; very long texts are read whole; empty tables give empty
+results; other columns, of any name, are kept. The `max_languages` labels that most documents have are learnt, ties by name; documents of
+others aren't learnt from and get one of the learnt labels like any other text. That bounds the fit's arrays (65537 x 8 bytes a language).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import boxed, field, load
 
 BUCKETS = 1 << 16
 #: Brings a text's values to about unit length.
@@ -132,23 +133,20 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3
 
 
-def learn(labelled: DataFrame, per_language: int = 1000, max_languages: int = 1000, epochs: int = 6, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, seed: int = 7) -> Model | None:
+def learn(labelled: DataFrame, per_language: int = 1000, max_languages: int = 200, epochs: int = 6, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.05, l2: float = 0.01, seed: int = 7) -> Model | None:
     """labelled: (doc_id, text, lang) of documents one may learn from. None if there are none."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["count"] for r in labelled.select("lang", "text").groupBy("lang").count().limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
-        raise ValueError(f"over {max_languages} languages")
+    common = labelled.select("lang", "text").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    sizes = {r["lang"]: r["count"] for r in common.collect()}
     if not sizes:
         return None
     df, n = document_frequency(labelled)
     idf = np.log((1 + n) / (1 + df)) + 1
     languages = sorted(sizes)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40)
-    share = F.lit(0.0)
-    for lang, count in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_language / count)).otherwise(share)
+    shares = labelled.sparkSession.createDataFrame([(lang, min(1.0, per_language / count)) for lang, count in sizes.items()], "_lang string, share double")
     part = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("string")), F.lit(5)).cast("int")
-    drawn = sorted(sample_features(labelled.where(draw < share).withColumn("part", part)), key=lambda s: (s[0], s[1], s[2].tobytes(), s[3].tobytes()))
+    drawn = sorted(sample_features(labelled.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(draw < F.col("share")).withColumn("part", part)), key=lambda s: (s[0], s[1], s[2].tobytes(), s[3].tobytes()))
     ready = [(languages.index(lang), part, np.append(at, BUCKETS), np.append(SCALE * share * idf[at], 1.0)) for lang, part, at, share in drawn]
     weights = train([(y, at, x) for y, part, at, x in ready if part] or [(y, at, x) for y, _, at, x in ready], len(languages), epochs, alpha, beta, l1, l2, seed)
     held = [(y, x @ weights[at]) for y, part, at, x in ready if not part]
@@ -158,9 +156,10 @@ def learn(labelled: DataFrame, per_language: int = 1000, max_languages: int = 10
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with two more columns. Rows go through one task each in Arrow batches, in place."""
+    """docs with two more columns, in place of any of these names. Rows go through one task each in Arrow batches, in place."""
+    own = [field(c).alias(c) for c in docs.columns if c not in (lang, score)]
     if model is None:
-        return docs.withColumns({lang: F.lit("und"), score: F.lit(0.0)})
+        return boxed(docs).select(*own, F.lit("und").alias(lang), F.lit(0.0).alias(score))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -171,7 +170,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang:
         return pd.DataFrame([model.predict(t) if t is not None else ("und", 0.0) for t in texts], columns=["lang", "score"])
 
     lettered = F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col))
-    return docs.withColumn("_said", predict(lettered)).withColumns({lang: F.col("_said.lang"), score: F.col("_said.score")}).drop("_said")
+    return boxed(docs, said=predict(lettered)).select(*own, F.col("said.lang").alias(lang), F.col("said.score").alias(score))
 
 
 def learn_from_documents(docs: DataFrame, **options) -> Model | None:

@@ -258,20 +258,125 @@ def test_quality_counts_all_documents(spark):
     assert sum(quality_classifier._slot("telling") in at for _, at, _ in seen) == 4
 
 
-def test_pipeline(spark):
-    docs = load(spark, SF, "documents")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns, name
-    got = corpus_pipeline.run(spark, SF).toPandas()
-    for _, s in got.groupby("sequence_id"):
-        assert s.length.sum() <= 2048
-    assert got.sequence_id.nunique() * 2048 < 1.05 * got.length.sum()
-
-
-@pytest.mark.parametrize("kind", ["empty", "nulls"])
-def test_pipeline_cases(spark, tmp_path, kind):
-    rows = [] if kind == "empty" else [(None, None, None, None, None), (1, None, None, None, None), (1, "one two three four five six", "en", None, 3), (2, "one two three four five six", "en", "a", 3)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    assert len(got) <= 4
+def test_quality_without_the_best_grade(spark):
+    """A grade that no label has has no probability: documents learnt as toxic aren't kept."""
+    df = spark.createDataFrame([(i, "rotten words" if i % 2 else "### ###", "x", "y") for i in range(60)], "doc_id long, text string, kept string, row string")
+    labels = quality_classifier.grades_of_labels(spark.createDataFrame([(i, i % 2, 1) for i in range(60)], "doc_id long, quality int, toxic int"))
+    got = quality_classifier.score(df, quality_classifier.learn(df, labels)).collect()
+    assert {(r["tail_probability"], r["kept"], r["row"]) for r in got} == {(0.0, False, "y")}
+
+
+def test_quality_sample_is_bounded(spark):
+    """Beyond the bound fewer documents are drawn, each standing for more."""
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 900}" for j in range(20)) + (" good" if i % 2 else " bad")) for i in range(2400)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 2 * (i % 2)) for i in range(2400)], "doc_id long, grade int")
+    seen, train = [], quality_classifier.train
+    quality_classifier.train = lambda samples, stands_for, *rest: seen.append((len(samples), stands_for)) or train(samples, stands_for, *rest)
+    try:
+        model = quality_classifier.learn(df, lab, most_entries=21 * 800)
+    finally:
+        quality_classifier.train = train
+    (n, stands_for), = seen
+    assert 650 < n < 950
+    assert stands_for[0] == stands_for[2] == pytest.approx(3, rel=0.01)
+    assert np.mean([r["kept"] == bool(r["doc_id"] % 2) for r in quality_classifier.score(df, model).collect()]) > 0.9
+
+
+def reference_fit(x, y, grades, steps=3000, rate=0.3, l2=1e-3):
+    """Cumulative logits by plain gradient descent on dense features."""
+    w, t = np.zeros(x.shape[1]), np.linspace(-1, 1, grades - 1)
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for _ in range(steps):
+        edges = np.concatenate([[-np.inf], t, [np.inf]])
+        q = x @ w
+        up, low = sigmoid(edges[y + 1] - q), sigmoid(edges[y] - q)
+        p = np.maximum(up - low, 1e-9)
+        w -= rate * (x.T @ -(1 - up - low) * -1 / len(y) + l2 * w)
+        for g in range(grades - 1):
+            slope = np.sum((y == g) * (up * (1 - up)) / p) - np.sum((y == g + 1) * (low * (1 - low)) / p)
+            t[g] += rate * slope / len(y)
+        t = np.sort(t)
+    return w, t
+
+
+def test_quality_against_a_reference_fit(spark):
+    """Held-out expected grades order documents as a dense fit of the same model does."""
+    rng = np.random.default_rng(5)
+    effect = rng.normal(size=25) * 1.5
+    texts, x = [], np.zeros((900, 25))
+    for i in range(900):
+        own = rng.choice(25, 6, replace=False)
+        x[i, own] = 1
+        texts.append(" ".join(f"w{j}" for j in own))
+    y = np.digitize(x @ effect + rng.logistic(size=900), np.quantile(x @ effect, [0.33, 0.66]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(y[i])) for i in range(600)], "doc_id long, grade int")
+    got = {r["doc_id"]: r for r in quality_classifier.score(df, quality_classifier.learn(df, lab)).collect()}
+    w, t = reference_fit(x[:600], y[:600], 3)
+    want = (1 / (1 + np.exp(t[None, :] - (x[600:] @ w)[:, None]))).sum(axis=1)
+    mine = np.array([got[i]["expected_grade"] for i in range(600, 900)])
+    rank = lambda z: np.argsort(np.argsort(z))
+    assert np.corrcoef(rank(want), rank(mine))[0, 1] > 0.9
+    assert np.corrcoef(rank(mine), y[600:])[0, 1] > np.corrcoef(rank(want), y[600:])[0, 1] - 0.05
+
+
+def test_quality_held_out(spark):
+    """Labelled documents that weren't learnt from."""
+    docs, graded = load(spark, SF.replace("0.001", "0.01"), "documents"), quality_classifier.grades_of_labels(load(spark, SF.replace("0.001", "0.01"), "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    got = quality_classifier.score(docs, quality_classifier.learn(docs, graded.where(~held))).join(graded.where(held).withColumnRenamed("doc_id", "i"), F.col("doc_id") == F.col("i")).collect()
+    right = np.array([r["kept"] == (r["grade"] == 2) for r in got])
+    bad, good = (np.array([r["tail_probability"] for r in got if (r["grade"] == 2) is k]) for k in (False, True))
+    auc = (good[:, None] > bad[None, :]).mean()
+    print(f"accuracy {right.mean():.3f}, AUC {auc:.3f}")
+    assert len(got) > 100
+    assert right.mean() > 0.85
+    assert auc > 0.9
+
+
+def test_language_weights_against_a_dense_fit(spark):
+    """Which language fits is mostly what full-batch softmax regression on the same features says; the temperature is the best one."""
+    rows = [(i, lang, text) for i, (lang, text) in enumerate((r["lang"], r["text"]) for r in load(spark, SF, "documents").where("text IS NOT NULL AND lang IS NOT NULL").orderBy("doc_id").collect())]
+    df = spark.createDataFrame([(i, t, lang) for i, lang, t in rows], "doc_id long, text string, lang string")
+    model = language_id.learn_from_documents(df)
+    n, names = len(rows), model.languages
+    grams = [Counter(language_id.ngrams(t).tolist()) for _, _, t in rows]
+    learnt = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1 and re.search(r"[^\W\d_]", rows[i][2])]
+    slots = {b: k for k, b in enumerate(sorted({b for i in learnt for b in grams[i]}))}
+    df_ = np.zeros(len(slots))
+    for i in learnt:
+        df_[[slots[b] for b in grams[i]]] += 1
+    idf = np.log((1 + len(learnt)) / (1 + df_)) + 1
+    x = np.zeros((n, len(slots)), np.float32)
+    for i, g in enumerate(grams):
+        for b, c in g.items():
+            if b in slots:
+                x[i, slots[b]] = 20 * c / sum(g.values()) * idf[slots[b]]
+    y, w = np.array([names.index(lang) if lang in names else 0 for _, lang, _ in rows]), np.zeros((len(slots), len(names)))
+    for _ in range(150):
+        s = x[learnt] @ w
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(learnt)), y[learnt]] -= 1
+        w -= 1.0 * x[learnt].T @ p / len(learnt)
+    others = [i for i in range(n) if i not in set(learnt) and len(rows[i][2]) > 40]
+    want = (x[others] @ w).argmax(axis=1)
+    got = [names.index(model.predict(rows[i][2])[0]) for i in others]
+    assert np.mean(want == got) > 0.95
+    rng = np.random.default_rng(1)
+    labels, scores = rng.integers(0, 3, 400), rng.normal(size=(400, 3)) * 3
+    scores[np.arange(400), labels] += 4
+    loss = lambda t: np.mean(np.log(np.exp(scores / t - (scores / t).max(axis=1, keepdims=True)).sum(axis=1)) + (scores / t).max(axis=1) - scores[np.arange(400), labels] / t)
+    best = min((loss(t), t) for t in np.geomspace(0.3, 20, 2000))[1]
+    assert abs(language_id.fit_temperature(scores, labels) / best - 1) < 0.02
+
+
+def test_more_labels_than_are_learnt(spark):
+    """Labels beyond the bound aren't learnt, and stop nothing."""
+    rows = [(i, ("the cat and the dog " if i % 2 else "le chat et le chien ") * 3, "en" if i % 2 else "fr") for i in range(90)] + [(200 + i, "the cat sat", f"odd{i}") for i in range(60)]
+    df = spark.createDataFrame([(*r, 0.5, "z") for r in rows], "doc_id long, text string, lang string, score double, said string")
+    model = language_id.learn_from_documents(df, max_languages=2)
+    assert model.languages == ["en", "fr"]
+    got = language_id.identify(df, model).collect()
+    assert {r["lang_pred"] for r in got} == {"en", "fr"}
+    assert all(r["said"] == "z" and 0 < r["score"] <= 1 for r in got)
