@@ -225,7 +225,7 @@ def signatures(texts: DataFrame, idf, bands: int, rows: int) -> DataFrame:
     return texts.select("did", "th", "text").mapInArrow(run, _SIGNED)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float, block: int = 256) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame, idf, threshold: float, block: int = 64) -> DataFrame:
     """Rows (a, b), a < b, of written pairs (x, node) whose texts (node, text) reach the threshold. Leaders x with many members have these
     in blocks; a leader's text goes once to each block, and a task streams over its blocks, leader first."""
     sizes = pairs.groupBy("x").agg(F.count("*").alias("n")).select("x", F.expr(f"(n + {block - 1}) div {block}").alias("blocks"))
