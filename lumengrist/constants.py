@@ -6,7 +6,6 @@ B = 0.75
 TOP_K = 5
 SUGGESTIONS = 5
 MAX_DISTANCE = 3
-TOO_FAR = 4
 HALF_WINDOW = 25
 PLAIN_SNIPPET = 50
 RELAXED_PERCENT = 60
@@ -21,7 +20,6 @@ KEYWORD_REQUEST = 0
 PAGE_REQUEST = 1
 KEYWORD_RESPONSE = 2
 PAGE_RESPONSE = 3
-COMMON_MESSAGE = 4
 
 #: Digits to which scores are rounded before they are compared or shown.
 DIGITS = 6

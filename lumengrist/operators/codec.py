@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import KEYWORD_REQUEST, KEYWORD_RESPONSE, PAGE_REQUEST, PAGE_RESPONSE
+from ..sources.shared import write_shared
 
 HEAD = struct.Struct(">II")
 
@@ -20,13 +21,21 @@ def encode(kind: Column, value: Column) -> Column:
     return F.concat(number(kind), number(F.octet_length(raw)), raw)
 
 
+class TooLong(ValueError):
+    """A longer value was announced than is allowed; frames are those before it."""
+
+    def __init__(self, length: int, frames: list[tuple[int, bytes]]):
+        super().__init__(f"a value of {length} bytes")
+        self.frames = frames
+
+
 def take_frames(held: bytes, most: int | None = None) -> tuple[list[tuple[int, bytes]], bytes]:
     """Complete messages at the front, and the rest. With `most`, a longer announced value is an error."""
     frames, at = [], 0
     while len(held) - at >= HEAD.size:
         kind, length = HEAD.unpack_from(held, at)
         if most is not None and length > most:
-            raise ValueError(f"a value of {length} bytes")
+            raise TooLong(length, frames)
         if len(held) - at < HEAD.size + length:
             break
         frames.append((kind, held[at + HEAD.size : at + HEAD.size + length]))
@@ -44,20 +53,32 @@ class DecodeFrames:
 
 
 def decode(streams: DataFrame) -> DataFrame:
-    """(conn_id, message_no, type, length, value) of (conn_id, data): a connection's whole bytes in one row."""
+    """(conn_id, type, length, value) of (conn_id, data): a connection's whole bytes in one row."""
     spark = streams.sparkSession
     spark.udtf.register("decode_frames", DecodeFrames)
-    name = "frames_in"
-    streams.select("conn_id", "data").createOrReplaceTempView(name)
-    rows = spark.sql(f"SELECT conn_id, f.* FROM {name}, LATERAL decode_frames(data) f")
-    return rows
+    return spark.sql("SELECT conn_id, f.* FROM {streams}, LATERAL decode_frames(data) f", streams=streams.select("conn_id", "data"))
 
 
 def requests(messages: DataFrame) -> DataFrame:
     """(conn_id, type, text, response_type) of messages that ask for something; others are passed over."""
     known = messages.where(F.col("type").isin(KEYWORD_REQUEST, PAGE_REQUEST))
     answer = F.when(F.col("type") == KEYWORD_REQUEST, KEYWORD_RESPONSE).otherwise(PAGE_RESPONSE)
-    return known.select("conn_id", "type", F.col("value").cast("string").alias("text"), answer.cast("long").alias("response_type"))
+    number = ["no"] if "no" in messages.columns else []
+    return known.select("conn_id", *number, "type", F.col("value").cast("string").alias("text"), answer.cast("long").alias("response_type"))
+
+
+def replies(requests_: DataFrame, recommended: Callable[[DataFrame], DataFrame], searched: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(conn_id, no, frame) for requests (conn_id, no, type, text, response_type): the JSON answer of either service as a message.
+
+    recommended and searched answer queries (query_id, text) with rows for words_json and pages_json. Equal requests are answered once;
+    a request without an answer gets an empty array.
+    """
+    asked = requests_.select("type", "text").distinct().withColumn("query_id", F.monotonically_increasing_id())
+    asked = write_shared(asked, "requests")
+    of = lambda kind: asked.where(F.col("type") == kind).select("query_id", "text")
+    answers = words_json(recommended(of(KEYWORD_REQUEST))).union(pages_json(searched(of(PAGE_REQUEST))))
+    json = asked.join(answers, "query_id", "left").select("type", "text", F.coalesce("json", F.lit("[]")).alias("json"))
+    return requests_.join(json, ["type", "text"]).select("conn_id", "no", encode(F.col("response_type"), F.col("json")).alias("frame"))
 
 
 def words_json(recommended: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import K1, B
 from ..functions.text import ascii_words, characters, without_stop_words
-from ..sources.shared import numbered
+from ..sources.shared import numbered, write_shared
 
 
 def tokens(documents: DataFrame, words=ascii_words, stop_words: DataFrame | None = None) -> DataFrame:
@@ -39,8 +39,9 @@ def idf(n_docs, df):
 
 
 def postings(documents: DataFrame, tf: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, doc_len, df, weight). Lengths and frequencies are joined by their keys; the statistics are one row."""
-    lengths, df = document_lengths(tf), document_frequencies(tf)
+    """(term, doc_id, tf, doc_len, df, weight). tf should be a written table. Lengths and frequencies are joined by their keys, the latter
+    from a table, so that adaptive execution can split a term that most documents hold; the statistics are one row."""
+    lengths, df = document_lengths(tf), write_shared(document_frequencies(tf), "frequencies")
     stats = F.broadcast(corpus_statistics(documents, lengths))  # one row
     out = tf.join(lengths, "doc_id").join(df, "term").join(stats)
     norm = F.col("tf") + F.lit(K1) * (F.lit(1.0) - F.lit(B) + F.lit(B) * F.col("doc_len") / F.col("avgdl"))
@@ -48,12 +49,29 @@ def postings(documents: DataFrame, tf: DataFrame) -> DataFrame:
     return out.select("term", "doc_id", "tf", "doc_len", "df", weight.alias("weight"))
 
 
+def build(documents: DataFrame, words=ascii_words, stop_words: DataFrame | None = None) -> DataFrame:
+    """Postings of documents, tokenised once; dealt by range of (term, doc_id) and sorted, so that a query's terms prune row groups and no
+    term is a single task's."""
+    tf = write_shared(term_frequencies(tokens(documents, words, stop_words)), "frequencies-in-documents")
+    return sorted_postings(documents, tf)
+
+
+def sorted_postings(documents: DataFrame, tf: DataFrame) -> DataFrame:
+    return postings(documents, tf).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
 def dictionary(tokens_: DataFrame) -> DataFrame:
     """(line_num, term, freq): terms in byte order with their 1-based place."""
     freq = tokens_.groupBy("term").agg(F.count("*").alias("freq"))
     return numbered(freq, ["term"]).select("line_num", "term", "freq")
 
 
+def sized_char_index(dictionary_: DataFrame) -> DataFrame:
+    """(ch, line_num, size), a row for each different character of each term; size is the term's length."""
+    size = F.char_length("term").alias("size")
+    return dictionary_.select("line_num", size, F.explode(F.array_distinct(characters(F.col("term")))).alias("ch")).select("ch", "line_num", "size")
+
+
 def char_index(dictionary_: DataFrame) -> DataFrame:
     """(ch, line_num), a row for each different character of each term."""
-    return dictionary_.select("line_num", F.explode(F.array_distinct(characters(F.col("term")))).alias("ch")).select("ch", "line_num")
+    return sized_char_index(dictionary_).select("ch", "line_num")

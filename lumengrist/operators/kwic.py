@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,19 +11,15 @@ from ..constants import HALF_WINDOW, PLAIN_SNIPPET
 _KEY = ["query_id", "doc_id"]
 
 
-def _starts(content: Column, word: Column) -> Column:
-    """Positions, from 0, of a word's hits in a text, left to right without overlap: the lengths of what lies between them, added up."""
-    gaps = F.transform(F.split(content, F.concat(F.lit(r"\Q"), word, F.lit(r"\E")), -1), F.char_length)
-    size = F.char_length(word)
-    added = lambda acc, gap: F.concat(acc, F.array(F.element_at(acc, -1) + gap + size))
-    ends = F.aggregate(gaps, F.array(F.lit(0)), added)
-    return F.transform(F.slice(ends, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda end: end - size)
-
-
 def windows(found: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(query_id, doc_id, begin, end, hits): a window of 25 characters at either side of each hit."""
+    """(query_id, doc_id, begin, end, hits): a window of 25 characters at either side of each hit. Hits go left to right without overlap;
+    where they begin follows from the lengths of what lies between them, added up."""
     k = keywords.where(F.col("term") != "").select("query_id", "term")
-    hit = found.join(k, "query_id").select(*_KEY, "term", F.char_length("content").alias("size"), F.explode(_starts(F.col("content"), F.col("term"))).alias("at"))
+    gaps = F.transform(F.split("content", F.concat(F.lit(r"\Q"), "term", F.lit(r"\E")), -1), F.char_length)
+    hit = found.join(k, "query_id").select(*_KEY, "term", F.char_length("content").alias("size"), gaps.alias("gaps")).where(F.size("gaps") > 1)
+    hit = hit.select(*_KEY, "term", "size", F.posexplode(F.expr("slice(gaps, 1, size(gaps) - 1)")).alias("i", "gap"))
+    before = Window.partitionBy(*_KEY, "term").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    hit = hit.withColumn("at", (F.sum(F.col("gap") + F.char_length("term")).over(before) - F.char_length("term")).cast("int"))
     end = F.least(F.col("size"), F.col("at") + F.char_length("term") + HALF_WINDOW)
     return hit.select(*_KEY, F.greatest(F.lit(0), F.col("at") - HALF_WINDOW).alias("begin"), end.alias("end"), F.lit(1).alias("hits"))
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import DIGITS, EDIT_WEIGHT, FREQUENCY_WEIGHT, JACCARD_WEIGHT, MAX_DISTANCE, SUGGESTIONS
+from ..constants import EDIT_WEIGHT, FREQUENCY_WEIGHT, JACCARD_WEIGHT, MAX_DISTANCE, SUGGESTIONS
 from ..functions.text import characters
+from ..sources.shared import write_shared
 
 
 def recall_by_characters(queries: DataFrame, char_index: DataFrame) -> DataFrame:
@@ -33,6 +34,18 @@ def recall(queries: DataFrame, dictionary: DataFrame, char_index: DataFrame) ->
     return recall_by_characters(queries, char_index).union(recall_by_prefix(queries, dictionary)).distinct()
 
 
+def recall_near(queries: DataFrame, dictionary: DataFrame, char_index: DataFrame) -> DataFrame:
+    """What of recall() can be near: terms whose length differs little. char_index has the terms' `size`, so that they go before anything
+    is joined by line."""
+    fits = lambda size: F.abs(F.col(size) - F.char_length("text")) <= MAX_DISTANCE
+    asked = queries.select("query_id", "text", F.explode(F.array_distinct(characters(F.col("text")))).alias("ch"))
+    by_character = asked.join(char_index, "ch").where(fits("size")).select("query_id", "line_num")
+    short = dictionary.select("line_num", "term", F.char_length("term").alias("size"))
+    starts = short.select("line_num", "term", "size", F.explode(F.sequence(F.greatest(F.lit(0), F.col("size") - MAX_DISTANCE), F.col("size"))).alias("n"))
+    by_prefix = starts.select("line_num", F.substring("term", F.lit(1), F.col("n")).alias("text")).join(queries.select("query_id", F.coalesce("text", F.lit("")).alias("text")), "text")
+    return by_character.union(by_prefix.select("query_id", "line_num")).distinct()
+
+
 def near_terms(queries: DataFrame, recalled: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(query_id, query, term, freq, distance) of recalled terms other than the query within the distance."""
     c = recalled.join(dictionary, "line_num").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
@@ -67,14 +80,15 @@ def frequency_score(freq, most):
     return F.log2(F.lit(1.0) + freq) / F.log2(F.lit(1.0) + most)
 
 
-def scored(candidates: DataFrame, postings: DataFrame, most: DataFrame) -> DataFrame:
-    """(query_id, term, jaccard, edit_sim, freq_score, score) of near terms. most: one row (max_freq)."""
+def scored(candidates: DataFrame, postings: DataFrame, most: DataFrame, digits: int | None = None) -> DataFrame:
+    """(query_id, term, jaccard, edit_sim, freq_score, score) of near terms, which should be a written table. most: one row (max_freq).
+    With `digits`, all are rounded."""
     j = jaccard(candidates, postings)
     c = candidates.join(j, ["query_id", "query", "term"]).join(F.broadcast(most))  # one row
     edit = edit_similarity(F.col("distance"), F.col("query"), F.col("term"))
     freq = frequency_score(F.col("freq"), F.col("max_freq"))
     total = F.lit(JACCARD_WEIGHT) * F.col("jaccard") + F.lit(EDIT_WEIGHT) * edit + F.lit(FREQUENCY_WEIGHT) * freq
-    r = lambda x: F.round(x, DIGITS)
+    r = lambda x: x if digits is None else F.round(x, digits)
     return c.select("query_id", "term", r(F.col("jaccard")).alias("jaccard"), r(edit).alias("edit_sim"), r(freq).alias("freq_score"), r(total).alias("score"))
 
 
@@ -84,9 +98,10 @@ def top_terms(scored_: DataFrame, k: int = SUGGESTIONS) -> DataFrame:
     return scored_.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "term", "score")
 
 
-def recommend(queries: DataFrame, dictionary: DataFrame, char_index: DataFrame, postings: DataFrame, most: DataFrame, k: int = SUGGESTIONS) -> DataFrame:
-    near = near_terms(queries, recall(queries, dictionary, char_index), dictionary)
-    return top_terms(scored(near, postings, most), k)
+def recommend(queries: DataFrame, dictionary: DataFrame, char_index: DataFrame, postings: DataFrame, most: DataFrame, k: int = SUGGESTIONS, digits: int | None = None) -> DataFrame:
+    """(query_id, rank, term, score). char_index (ch, line_num, size)."""
+    near = write_shared(near_terms(queries, recall_near(queries, dictionary, char_index), dictionary), "near-terms")
+    return top_terms(scored(near, postings, most, digits), k)
 
 
 def recall_by_cooccurrence(queries: DataFrame, postings: DataFrame, k: int = SUGGESTIONS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..constants import DIGITS, RELAXED_PERCENT, TOP_K
+from ..constants import RELAXED_PERCENT, TOP_K
 from ..functions.text import ascii_words, is_blank, without_stop_words
 
 
@@ -22,10 +22,12 @@ def known_counts(keywords: DataFrame, postings: DataFrame) -> DataFrame:
     return keywords.join(postings.select("term"), "term", "left_semi").groupBy("query_id").agg(F.count("*").alias("n_known"))
 
 
-def scores(keywords: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, doc_id, matches, score) of all documents with a keyword."""
+def scores(keywords: DataFrame, postings: DataFrame, digits: int | None = None) -> DataFrame:
+    """(query_id, doc_id, matches, score) of all documents with a keyword. With `digits`, scores are rounded before anything ranks them,
+    so that engines which add up in another order agree."""
     hits = keywords.join(postings.select("term", "doc_id", "weight"), "term")
-    return hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("matches"), F.round(F.sum("weight"), DIGITS).alias("score"))
+    total = F.sum("weight")
+    return hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("matches"), (total if digits is None else F.round(total, digits)).alias("score"))
 
 
 def relaxed(n):
@@ -50,10 +52,10 @@ def ranked(scored: DataFrame, required: DataFrame, top: int = TOP_K) -> DataFram
     return out.where(F.col("rank") <= top).select("query_id", "rank", "doc_id", "matches", "score")
 
 
-def search(queries: DataFrame, postings: DataFrame, words=ascii_words, stop_words: DataFrame | None = None, top: int = TOP_K) -> DataFrame:
+def search(queries: DataFrame, postings: DataFrame, words=ascii_words, stop_words: DataFrame | None = None, top: int = TOP_K, digits: int | None = None) -> DataFrame:
     """Queries without a known keyword have no rows."""
     keywords = query_keywords(queries, words, stop_words)
-    scored = scores(keywords, postings)
+    scored = scores(keywords, postings, digits)
     return ranked(scored, required_matches(scored, known_counts(keywords, postings), top), top)
 
 

@@ -13,11 +13,10 @@ from ..operators import search as S
 from ..sources import rss, stores
 from ..sources.shared import application_folder, built, write_shared
 from ..streaming import service
-from .oracles import CJK_WORDS, ORACLES, SEARCHES, SUGGEST_FOR  # noqa: F401
+from .oracles import CJK_SEARCHES, CJK_STOP, CJK_VOCABULARY, CJK_WORDS, LINES, ORACLES, SEARCHES, SUGGEST_FOR  # noqa: F401
 
 CJK_TEXTS = [(1, "人工智能和机器学习"), (2, "深度学习 GPT 应用"), (3, "机器翻译")]
 CJK_DICTIONARY = {"人工智能": 50, "人工": 20, "机器学习": 40, "机器": 20, "学习": 30, "深度学习": 35, "翻译": 10, "机器翻译": 9, "应用": 10, "和": 100}
-LINES = ["  /k abc ", "/s abc", "abc", "/k", "/x", "", "/k  abc", "/help", "/quit", "\t/s a b\t"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,53 +37,75 @@ def stop_words(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w,) for w in STOP_WORDS], "term string")
 
 
+def _from_documents(spark, sf_dir, name, build):
+    return built(spark, name, f"{sf_dir}/documents.parquet", build)
+
+
 def tf(spark, sf_dir):
-    return built(spark, ("tf", sf_dir), lambda: index.term_frequencies(index.tokens(documents(spark, sf_dir))))
+    return _from_documents(spark, sf_dir, "tf", lambda: index.term_frequencies(index.tokens(documents(spark, sf_dir))))
 
 
 def postings(spark, sf_dir):
-    """Dealt by range of terms and sorted, so that a query's terms prune row groups."""
-    return built(spark, ("postings", sf_dir), lambda: index.postings(documents(spark, sf_dir), tf(spark, sf_dir)).repartitionByRange("term").sortWithinPartitions("term", "doc_id"))
+    return _from_documents(spark, sf_dir, "postings", lambda: index.sorted_postings(documents(spark, sf_dir), tf(spark, sf_dir)))
 
 
 def dictionary(spark, sf_dir):
-    return built(spark, ("dictionary", sf_dir), lambda: index.dictionary(index.tokens(documents(spark, sf_dir))))
+    return _from_documents(spark, sf_dir, "dictionary", lambda: index.dictionary(index.tokens(documents(spark, sf_dir))))
 
 
 def char_index(spark, sf_dir):
-    return built(spark, ("chars", sf_dir), lambda: index.char_index(dictionary(spark, sf_dir)))
+    """With the terms' sizes."""
+    return _from_documents(spark, sf_dir, "chars", lambda: index.sized_char_index(dictionary(spark, sf_dir)))
 
 
 def fps(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return built(spark, ("fingerprints", sf_dir), lambda: fingerprint.fingerprints(docs, fingerprint.top_terms(docs, tf(spark, sf_dir))))
+    return _from_documents(spark, sf_dir, "fingerprints", lambda: fingerprint.fingerprints(docs, fingerprint.top_terms(docs, tf(spark, sf_dir))))
+
+
+def kept_documents(spark, sf_dir):
+    """(doc_id, link, title, content) of what greedy removal keeps, under new consecutive ids."""
+    kept = lambda: fingerprint.deduplicated(documents(spark, sf_dir), fps(spark, sf_dir))
+    return _from_documents(spark, sf_dir, "kept", lambda: kept().select(F.col("new_id").alias("doc_id"), "link", "title", "content"))
+
+
+def kept_postings(spark, sf_dir):
+    return _from_documents(spark, sf_dir, "kept-postings", lambda: index.build(kept_documents(spark, sf_dir)))
+
+
+def values(spark, rows, schema: str) -> DataFrame:
+    """A few literal rows, whose size the optimizer knows."""
+    literal = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    names, kinds = zip(*(c.split() for c in schema.split(", ")), strict=True)
+    listed = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(names)})").select(*[F.col(n).cast(k).alias(n) for n, k in zip(names, kinds, strict=True)])
 
 
 def searches(spark, which=None) -> DataFrame:
-    return spark.createDataFrame([q for q in SEARCHES if which is None or q[0] in which], "query_id long, text string").coalesce(1)
+    return values(spark, [q for q in SEARCHES if which is None or q[0] in which], "query_id long, text string")
 
 
 def asked(spark) -> DataFrame:
-    return spark.createDataFrame(SUGGEST_FOR, "query_id long, text string").coalesce(1)
+    return values(spark, SUGGEST_FOR, "query_id long, text string")
 
 
 def _found(spark, sf_dir, which=None) -> DataFrame:
-    return S.search(searches(spark, which), postings(spark, sf_dir))
+    return S.search(searches(spark, which), postings(spark, sf_dir), digits=DIGITS)
 
 
 def _bodies(spark, sf_dir, which=None) -> DataFrame:
     return S.fetched(_found(spark, sf_dir, which), documents(spark, sf_dir))
 
 
-def answers(queries: DataFrame, spark, sf_dir) -> DataFrame:
-    body = S.fetched(S.search(queries, postings(spark, sf_dir)), documents(spark, sf_dir))
+def answers(queries: DataFrame, spark, sf_dir, digits: int | None = None) -> DataFrame:
+    body = S.fetched(S.search(queries, postings(spark, sf_dir), digits=digits), documents(spark, sf_dir))
     snippets = kwic.abstracts(body, S.query_keywords(queries))
     return body.join(snippets, ["query_id", "doc_id"]).select("query_id", "rank", "doc_id", "score", "title", "link", "abstract")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked pages with snippets for all searches."""
-    return answers(searches(spark), spark, sf_dir)
+    return answers(searches(spark), spark, sf_dir, DIGITS)
 
 
 def text_strip_tags(spark, sf_dir):
@@ -104,16 +125,16 @@ def token_stopword_anti(spark, sf_dir):
 
 
 def cjk_filter(spark, sf_dir):
-    return spark.createDataFrame(CJK_WORDS, "id long, word string").where(T.is_cjk(F.col("word")))
+    return values(spark, CJK_WORDS, "id long, word string").where(T.is_cjk(F.col("word")))
 
 
 def char_explode(spark, sf_dir):
-    words = spark.createDataFrame(CJK_WORDS, "id long, word string")
+    words = values(spark, CJK_WORDS, "id long, word string")
     return words.select("id", F.posexplode(T.characters(F.col("word"))).alias("pos", "ch")).select("id", F.col("pos").cast("long").alias("pos"), "ch")
 
 
 def tokenize_cjk(spark, sf_dir):
-    texts = spark.createDataFrame(CJK_TEXTS, "id long, text string")
+    texts = values(spark, CJK_TEXTS, "id long, text string")
     return texts.select("id", F.posexplode(segment(F.col("text"), CJK_DICTIONARY)).alias("pos", "word"))
 
 
@@ -139,7 +160,7 @@ def dict_line_num(spark, sf_dir):
 
 
 def char_index_query(spark, sf_dir):
-    return char_index(spark, sf_dir)
+    return char_index(spark, sf_dir).select("ch", "line_num")
 
 
 def page_offsets(spark, sf_dir):
@@ -147,10 +168,25 @@ def page_offsets(spark, sf_dir):
 
 
 def index_export(spark, sf_dir):
-    """Lines of the index as sizes and ids, whose text needs no number formatting to compare; the weights go to index_import."""
-    lines = stores.index_lines(postings(spark, sf_dir))
-    ids = F.transform(F.filter(F.split("line", " "), lambda x, i: i % 2 == 1), lambda x: x)
-    return lines.select("term", F.array_join(ids, " ").alias("ids"))
+    return stores.index_lines(postings(spark, sf_dir))
+
+
+def index_deduplicated(spark, sf_dir):
+    """The index over what greedy removal keeps, under its new ids."""
+    return kept_postings(spark, sf_dir).select("term", "doc_id", "tf", F.round("weight", DIGITS).alias("weight"))
+
+
+def page_fetch(spark, sf_dir):
+    """The whole build and its use: kept documents, new ids, page store and offsets as files, index, search, and pages read at their
+    offsets."""
+    store = stores.page_store(kept_documents(spark, sf_dir))
+    pages_path, offsets_path = _folder(spark, "pages"), _folder(spark, "offsets")
+    store = write_shared(store, "page-store")
+    stores.write_page_store(store, pages_path)
+    stores.write_lines(store.select("doc_id", F.concat_ws(" ", "doc_id", "offset", "length").alias("line")), ["doc_id"], offsets_path)
+    found = S.search(searches(spark), kept_postings(spark, sf_dir), digits=DIGITS)
+    got = stores.fetched(found, stores.read_offsets(spark, offsets_path), stores.read_page_store(spark, pages_path))
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "link", "title", F.md5("content").alias("content_md5"))
 
 
 def dict_export(spark, sf_dir):
@@ -241,7 +277,7 @@ def query_keywords(spark, sf_dir):
 
 
 def search_scores(spark, sf_dir):
-    return S.scores(S.query_keywords(searches(spark)), postings(spark, sf_dir))
+    return S.scores(S.query_keywords(searches(spark)), postings(spark, sf_dir), DIGITS)
 
 
 def search_progressive(spark, sf_dir):
@@ -253,7 +289,7 @@ def _one(*ids):
 
 
 def search_stopwords(spark, sf_dir):
-    found = S.search(searches(spark), postings(spark, sf_dir), stop_words=stop_words(spark))
+    found = S.search(searches(spark), postings(spark, sf_dir), stop_words=stop_words(spark), digits=DIGITS)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "matches", "score")
 
 
@@ -298,7 +334,7 @@ def response_parse(spark, sf_dir):
 
 
 def recall_char(spark, sf_dir):
-    return recommend.recall_by_characters(asked(spark), char_index(spark, sf_dir))
+    return recommend.recall_by_characters(asked(spark), char_index(spark, sf_dir).select("ch", "line_num"))
 
 
 def recall_prefix(spark, sf_dir):
@@ -306,11 +342,12 @@ def recall_prefix(spark, sf_dir):
 
 
 def recall_union(spark, sf_dir):
-    return recommend.recall(asked(spark), dictionary(spark, sf_dir), char_index(spark, sf_dir))
+    return recommend.recall(asked(spark), dictionary(spark, sf_dir), char_index(spark, sf_dir).select("ch", "line_num"))
 
 
 def _near(spark, sf_dir):
-    return built(spark, ("near-terms", sf_dir), lambda: recommend.near_terms(asked(spark), recall_union(spark, sf_dir), dictionary(spark, sf_dir)))
+    recalled = lambda: recommend.recall_near(asked(spark), dictionary(spark, sf_dir), char_index(spark, sf_dir))
+    return _from_documents(spark, sf_dir, "near-terms", lambda: recommend.near_terms(asked(spark), recalled(), dictionary(spark, sf_dir)))
 
 
 def edit_prune(spark, sf_dir):
@@ -322,7 +359,7 @@ def jaccard_docs(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return recommend.scored(_near(spark, sf_dir), postings(spark, sf_dir), stores.max_frequency(dictionary(spark, sf_dir)))
+    return recommend.scored(_near(spark, sf_dir), postings(spark, sf_dir), stores.max_frequency(dictionary(spark, sf_dir)), DIGITS)
 
 
 def freq_score(spark, sf_dir):
@@ -364,7 +401,7 @@ def request_dispatch(spark, sf_dir):
 
 
 def client_command(spark, sf_dir):
-    return codec.commands(spark.createDataFrame([(x,) for x in LINES], "line string"))
+    return codec.commands(values(spark, [(x,) for x in LINES], "line string")).select("line", "action", F.coalesce("type", F.lit(-1)).cast("long").alias("type"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def stream_messages(spark, sf_dir):
@@ -382,7 +419,7 @@ def stream_search(spark, sf_dir):
     """The searches as a stream of requests, answered in batches against the index."""
     requests = write_shared(searches(spark), "requests")
     source = spark.readStream.schema(requests.schema).parquet(requests.inputFiles()[0].rsplit("/", 1)[0])
-    return service.answer_all(source, lambda rows: answers(rows, spark, sf_dir), _folder(spark, "answers"), _folder(spark, "answers-checkpoint")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "abstract")
+    return service.answer_all(source, lambda rows: answers(rows, spark, sf_dir, DIGITS), _folder(spark, "answers"), _folder(spark, "answers-checkpoint")).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score", "abstract")
 
 
 def ext_cooccur_recall(spark, sf_dir):
@@ -393,9 +430,62 @@ def ext_search_pages_multilang(spark, sf_dir):
     """Search over pages with words of any script: runs of letters, lower-cased."""
     words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}]+", " ")), " "), lambda w: w != "")
     docs = pages(spark, sf_dir)
-    tf_ = write_shared(index.term_frequencies(index.tokens(docs, words)), "page-tf")
-    own = built(spark, ("page-postings", sf_dir), lambda: index.postings(docs, tf_))
-    return S.search(searches(spark), own, words).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "matches", "score")
+    own = built(spark, "page-postings", f"{sf_dir}/pages.parquet", lambda: index.build(docs, words))
+    return S.search(searches(spark), own, words, digits=DIGITS).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "matches", "score")
+
+
+def stream_dispatch(spark, sf_dir):
+    """Both kinds of request, and one that is neither, as a stream of bytes in chunks out of order: messages with state for each
+    connection, answers, and replies as messages."""
+    rows = [(1 + i % 2, i, kind, text) for i, (kind, text) in enumerate([(0, t) for _, t in SUGGEST_FOR] + [(4, "passed over")] + [(1, t) for _, t in SEARCHES])]
+    frames = values(spark, rows, "conn_id long, at long, type long, text string").select("conn_id", "at", codec.encode(F.col("type"), F.col("text")).alias("frame"))
+    whole = frames.groupBy("conn_id").agg(F.sort_array(F.collect_list(F.struct("at", F.hex("frame").alias("f")))).alias("f")).select("conn_id", F.unhex(F.array_join("f.f", "")).alias("data"))
+    cut = whole.withColumn("seq", F.explode(F.expr("sequence(0L, (octet_length(data) - 1) div 7)")))
+    chunks = write_shared(cut.select("conn_id", "seq", F.expr("substring(data, int(seq * 7 + 1), 7)").alias("data")).orderBy(F.desc("seq")), "chunks")
+    source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(chunks.inputFiles()[0].rsplit("/", 1)[0])
+    suggest = lambda q: recommend.recommend(q, dictionary(spark, sf_dir), char_index(spark, sf_dir), postings(spark, sf_dir), stores.max_frequency(dictionary(spark, sf_dir)), digits=DIGITS)
+    reply = lambda got: codec.replies(codec.requests(got), suggest, lambda q: answers(q, spark, sf_dir, DIGITS))
+    return service.answer_all(service.messages(source), reply, _folder(spark, "replies"), _folder(spark, "replies-checkpoint")).select("conn_id", "no", F.hex("frame").alias("frame"))
+
+
+def cjk_words(text):
+    """Words of a CJK text that consist of CJK characters, by the dictionary at hand."""
+    return F.filter(segment(text, dict.fromkeys(CJK_VOCABULARY, 10)), T.is_cjk)
+
+
+def _cjk_documents(spark, sf_dir):
+    """A text for each document: words of the vocabulary by its id, in threes between other characters."""
+    words = F.array(*map(F.lit, CJK_VOCABULARY))
+    parts = F.transform(F.expr("sequence(0, int(4 + doc_id % 11))"), lambda j: F.concat(F.element_at(words, (_pick(j) + 1).cast("int")), F.when(j % 3 == 2, F.lit("，GPT ")).otherwise("")))
+    return read(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("link"), F.lit("").alias("title"), F.array_join(parts, "").alias("content"))
+
+
+def _pick(j):
+    return (F.col("doc_id") * 7 + j * (1 + F.col("doc_id") % 5) + F.floor(j / 4)) % len(CJK_VOCABULARY)
+
+
+def _cjk_stop_words(spark):
+    return values(spark, [(w,) for w in CJK_STOP], "term string")
+
+
+def _cjk_dictionary(spark, sf_dir):
+    return _from_documents(spark, sf_dir, "dictionary-cjk", lambda: index.dictionary(index.tokens(_cjk_documents(spark, sf_dir), cjk_words, _cjk_stop_words(spark))))
+
+
+def dict_cjk(spark, sf_dir):
+    return _cjk_dictionary(spark, sf_dir)
+
+
+def char_index_cjk(spark, sf_dir):
+    return stores.char_index_lines(index.char_index(_cjk_dictionary(spark, sf_dir)))
+
+
+def search_cjk(spark, sf_dir):
+    """Search over the CJK profile of the index. Queries are cut by the same dictionary, and keep what isn't CJK, which no page has."""
+    own = _from_documents(spark, sf_dir, "postings-cjk", lambda: index.build(_cjk_documents(spark, sf_dir), cjk_words))
+    every = lambda text: segment(text, dict.fromkeys(CJK_VOCABULARY, 10))
+    found = S.search(values(spark, CJK_SEARCHES, "query_id long, text string"), own, every, _cjk_stop_words(spark), digits=DIGITS)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "matches", "score")
 
 
 QUERIES = {
@@ -406,6 +496,6 @@ QUERIES = {
         term_idf, bm25_postings, simhash_topn, simhash_fp, simhash_blocks, dup_candidates, dup_pairs, dedup_greedy, query_keywords, search_scores, search_progressive,
         search_stopwords, kwic_hits, kwic_merged, kwic_best, kwic_abstract, kwic_fallback, search_pages, search_pages_json, response_parse, recall_char, recall_prefix, recall_union,
         edit_prune, jaccard_docs, freq_score, hybrid_score, recommend_topk, recommend_json, tlv_encode, tlv_decode, request_dispatch, client_command, stream_messages,
-        stream_search, ext_cooccur_recall, ext_search_pages_multilang,
+        stream_search, stream_dispatch, ext_cooccur_recall, ext_search_pages_multilang, index_deduplicated, page_fetch, dict_cjk, char_index_cjk, search_cjk,
     )
 } | {"char_index": char_index_query, "search_and": _one(1), "search_60": _one(2, 4), "search_or": _one(3), "search_empty": _one(6)}

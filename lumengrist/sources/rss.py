@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_tags
 
+log = logging.getLogger(__name__)
 _SCHEMA = "channel struct<item: array<struct<title: string, link: string, content: string, description: string>>>"
 
 
 def scan_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, value): each file of a folder, not of those below, as one text. Unreadable files are skipped; order by path."""
-    files = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(folder, wholetext=True)
-    return files.select(F.input_file_name().alias("path"), "value")
+    """(path, value): each file of a folder, not of those below, as one text. Unreadable files are skipped. Rows have no order of their
+    own: order by path. Files whose names begin with a dot or an underscore are left out, as by all of Spark's readers."""
+    files = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "false").text(folder, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def rss_items(files: DataFrame) -> DataFrame:
@@ -36,5 +40,9 @@ def page_documents(pages: DataFrame) -> DataFrame:
 
 
 def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
-    """(term): the words of a file, separated by white space."""
+    """(term): the words of a file, separated by white space; none where there is no file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        log.warning("no stop words at %s", path)
+        return spark.sql("SELECT '' AS term WHERE false")
     return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("term")).where("term <> ''").distinct()

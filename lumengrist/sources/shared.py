@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_BUILT: dict[tuple, DataFrame] = {}
+_BUILT: dict[tuple, tuple[tuple, DataFrame]] = {}
 _LOCAL: set[str] = set()
 
 
@@ -52,12 +52,23 @@ def write_shared(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def built(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """The table built for key in this application: built and written once, then read."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _BUILT:
-        _BUILT[key] = write_shared(build(), "-".join(str(k) for k in key[1:2]))
-    return _BUILT[key]
+def listing(spark: SparkSession, path: str) -> tuple:
+    """Path, size and time of change of each file at or below path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def built(spark: SparkSession, name: str, source: str, build) -> DataFrame:
+    """The table `name` built from the files at `source` in this application: built and written once, then read, and built anew when the
+    files have changed."""
+    key, now = (spark.sparkContext.applicationId, name, source), listing(spark, source)
+    if key not in _BUILT or _BUILT[key][0] != now:
+        _BUILT[key] = now, write_shared(build(), name)
+    return _BUILT[key][1]
 
 
 def numbered(df: DataFrame, order: list[str], number: str = "line_num", running: Column | None = None) -> DataFrame:

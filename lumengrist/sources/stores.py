@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .shared import numbered
 
+_END = "</doc>\n"
+#: Where a line of a text file stands among all: file, first byte of its split, and number.
+_PLACE = ("_metadata.file_path AS _file", "_metadata.file_block_start AS _start", "monotonically_increasing_id() AS _line")
+
 
 def page_record(doc_id: Column, link: Column, title: Column, content: Column) -> Column:
     """One record of the page store. Values aren't escaped, as readers of the format expect."""
@@ -21,15 +25,52 @@ def page_store(documents: DataFrame) -> DataFrame:
     return placed.select("doc_id", "record", "offset", "length")
 
 
+def read_page_store(spark: SparkSession, path: str) -> DataFrame:
+    """(offset, length, record) of the records in the files of a page store, which in path order are one."""
+    rows = spark.read.option("lineSep", _END).text(path).select(F.concat("value", F.lit(_END)).alias("record"), *map(F.expr, _PLACE))
+    placed = numbered(rows.withColumn("length", F.octet_length("record").cast("long")), ["_file", "_start", "_line"], "offset", F.col("length"))
+    return placed.select("offset", "length", "record")
+
+
+def write_page_store(store: DataFrame, path: str) -> None:
+    """The records in id order, as one text file for each range of ids."""
+    body = F.expr(f"left(record, char_length(record) - {len(_END)})")
+    store.repartitionByRange("offset").sortWithinPartitions("offset").select(body.alias("record")).write.option("lineSep", _END).text(path)
+
+
+def parsed_record(record: Column) -> Column:
+    """struct<link, title, content> of a record; null where its values hold markup, so that it is no XML."""
+    field = lambda name: rf"\t<{name}>([^<]*)</{name}>\n"
+    pattern = r"\A<doc>\n" + "".join(map(field, ("docid", "link", "title", "content"))) + r"</doc>\n\z"
+
+    def value(group: int) -> Column:
+        x = F.regexp_extract(record, pattern, group)
+        for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(entity), F.lit(char))
+        return x
+
+    return F.when(record.rlike(pattern), F.struct(value(2).alias("link"), value(3).alias("title"), value(4).alias("content")))
+
+
+def fetched(ranked: DataFrame, offsets: DataFrame, store: DataFrame) -> DataFrame:
+    """ranked (doc_id, ...) with link, title and content read at (offset, length). What isn't readable there is left out, and nothing moves up."""
+    at = ranked.join(offsets, "doc_id").join(store, ["offset", "length"]).drop("offset", "length")
+    return at.withColumn("_page", parsed_record(F.col("record"))).where("_page IS NOT NULL").select(*ranked.columns, "_page.link", "_page.title", "_page.content")
+
+
 def significant(weight: Column) -> Column:
-    """A number as text streams print it: six significant digits."""
-    x = F.format_string("%.5e", weight).cast("double")
-    return x
+    """A number as text streams print it: six significant digits without trailing zeros, with an exponent below -4 and from 6 on."""
+    digits = F.format_string("%.5e", weight)
+    power = F.substring_index(digits, "e", -1).cast("int")
+    short = lambda x: F.regexp_replace(x, r"(\.[0-9]*?)0+$", "$1")
+    bare = lambda x: F.regexp_replace(short(x), r"\.$", "")
+    fixed = F.coalesce(*[F.when(power == p, bare(F.format_string(f"%.{5 - p}f", weight))) for p in range(-4, 6)])
+    return F.when(power.between(-4, 5), fixed).otherwise(F.concat(bare(F.substring_index(digits, "e", 1)), F.lit("e"), F.substring_index(digits, "e", -1)))
 
 
 def index_lines(postings: DataFrame) -> DataFrame:
     """(term, line): `term id weight id weight ...`, ids ascending."""
-    pair = F.concat_ws(" ", F.col("doc_id").cast("string"), significant(F.col("weight")).cast("string"))
+    pair = F.concat_ws(" ", F.col("doc_id").cast("string"), significant(F.col("weight")))
     lists = postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", pair.alias("pair")))).alias("pairs"))
     return lists.select("term", F.concat(F.col("term"), F.lit(" "), F.array_join("pairs.pair", " ")).alias("line"))
 
@@ -71,8 +112,13 @@ def read_char_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, offset, length)."""
-    return spark.read.csv(path, sep=" ", schema="doc_id long, offset long, length long")
+    """(doc_id, offset, length) up to the first line, in path order, that isn't three numbers; blank lines don't count."""
+    lines = spark.read.text(path).select("value", F.struct(*map(F.expr, _PLACE)).alias("place")).where(~F.col("value").rlike(r"\A\s*\z"))
+    parts = F.split(F.regexp_replace("value", r"\A\s+|\s+\z", ""), r"\s+")
+    numbers = lines.select("place", F.when(F.size(parts) == 3, F.transform(parts, lambda x: F.when(x.rlike(r"\A[+-]?[0-9]+\z"), x.try_cast("long")))).alias("n"))
+    bad = numbers.where("n IS NULL OR exists(n, x -> x IS NULL)").agg(F.min("place").alias("first"))  # one row
+    good = numbers.join(F.broadcast(bad)).where("first IS NULL OR place < first")
+    return good.select(F.col("n")[0].alias("doc_id"), F.col("n")[1].alias("offset"), F.col("n")[2].alias("length"))
 
 
 def max_frequency(dictionary: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumengrist.functions import text as T
 from lumengrist.functions.segment import Segmenter
 from lumengrist.operators import codec, fingerprint, index, kwic, recommend, search
+from lumengrist.plans import registry
 from lumengrist.sources import rss, stores
 
 
@@ -82,7 +83,22 @@ def test_greedy_random(spark):
     values = [sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(300)]
     assert sorted(r["doc_id"] for r in fingerprint.greedy_keep(fps(spark, values)).collect()) == greedy(values)
     pairs = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(values, 1), 2) if (a ^ b).bit_count() <= 3}
-    assert {(r["doc_a"], r["doc_b"]) for r in fingerprint.duplicate_pairs(fps(spark, values)).collect()} == pairs
+    got = fingerprint.duplicate_pairs(fps(spark, values)).collect()
+    same = {i: [i] for i in range(1, len(values) + 1)}
+    for r in got:
+        assert r["distance"] == (values[r["doc_a"] - 1] ^ values[r["doc_b"] - 1]).bit_count()
+        if not r["distance"]:
+            same[r["doc_a"]].append(r["doc_b"])
+    between = [(a, b) for r in got if r["distance"] for a in same[r["doc_a"]] for b in same[r["doc_b"]]]
+    within = [x for held in same.values() for x in itertools.combinations(held, 2)]
+    assert {tuple(sorted(x)) for x in between + within} == pairs
+
+
+def test_copies_are_not_paired(spark):
+    """Of 2000 equal fingerprints none is compared or paired with another but the first."""
+    table = fps(spark, [5] * 2000 + [6, 15 << 40])
+    assert fingerprint.duplicate_pairs(table).count() == 2000  # 1999 copies, and one pair of different fingerprints
+    assert fingerprint.compared_pairs(table).first()["n"] < 60
 
 
 KWIC = [
@@ -171,6 +187,77 @@ def test_scan_and_stop_words(spark, tmp_path):
     (tmp_path / "one.txt").write_text("hello\nworld")
     assert [r["value"] for r in rss.scan_texts(spark, str(tmp_path)).collect()] == ["hello\nworld"]
     assert sorted(r["term"] for r in rss.read_stop_words(spark, str(tmp_path)).collect()) == ["hello", "world"]
+    assert rss.read_stop_words(spark, f"{tmp_path}/none").count() == 0
+    for name in ("b.txt", "a.txt", ".hidden", "_left"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "c.txt").write_text("c")
+    rows = rss.scan_texts(spark, str(tmp_path)).orderBy("path").collect()
+    assert [r["value"] for r in rows] == ["a.txt", "b.txt", "hello\nworld"]
+    assert [r["path"].rsplit("/", 1)[1] for r in rows] == ["a.txt", "b.txt", "one.txt"]
+
+
+def test_rss_from_files(spark, tmp_path):
+    for name, n in (("b.xml", 1), ("a.xml", 2)):
+        (tmp_path / name).write_text("<rss><channel>" + "".join(f"<item><title>{name}{i}</title><content>text &amp; {i}</content></item>" for i in range(n)) + "</channel></rss>")
+    (tmp_path / "broken.xml").write_text("<rss><channel><item>")
+    rows = rss.rss_items(rss.scan_texts(spark, str(tmp_path))).orderBy("path", "position").collect()
+    assert [(r["title"], r["content"]) for r in rows] == [("a.xml0", "text & 0"), ("a.xml1", "text & 1"), ("b.xml0", "text & 0")]
+
+
+@pytest.mark.parametrize(("x", "text"), [(2.0, "2"), (1.234567e-5, "1.23457e-05"), (1234567.0, "1.23457e+06"), (0.0001, "0.0001"), (-0.5552476, "-0.555248"), (0.0, "0"), (123456.0, "123456"), (999999.5, "1e+06"), (100.25, "100.25"), (1e100, "1e+100"), (9.9999999, "10"), (0.00012345678, "0.000123457")])
+def test_numbers_as_text_streams_print_them(spark, x, text):
+    assert one(spark, stores.significant(F.lit(x))) == text == f"{x:g}"
+
+
+def test_offsets_stop_at_a_bad_line(spark, tmp_path):
+    """Blank lines don't count; nothing after the first bad line is read, in this file or a later one."""
+    (tmp_path / "1").write_text("1 0 10\n\n  2 10\t5 \n")
+    (tmp_path / "2").write_text("3 15 5\n4 x 5\n5 20 5\n")
+    (tmp_path / "3").write_text("6 25 5\n")
+    assert sorted(map(tuple, stores.read_offsets(spark, str(tmp_path)).collect())) == [(1, 0, 10), (2, 10, 5), (3, 15, 5)]
+    (tmp_path / "2").write_text("3 15 99999999999999999999\n")
+    assert stores.read_offsets(spark, str(tmp_path)).count() == 2
+
+
+def test_page_store_and_fetch(spark, tmp_path):
+    """What isn't readable at its offset is left out, and nothing moves up."""
+    rows = [(1, "l&amp;1", "t", "c"), (2, "", "人", "é\n</doc>\nmore"), (3, "l", "a < b", "c"), (4, "", "", "line\nline &lt;b&gt; &amp;lt;")]
+    d = spark.createDataFrame(rows, "doc_id long, link string, title string, content string")
+    store = stores.page_store(d)
+    places = {r["doc_id"]: (r["offset"], r["length"]) for r in store.collect()}
+    assert (places[1], places[2][0]) == ((0, 93), 93)
+    stores.write_page_store(store, f"{tmp_path}/pages")
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "pages").glob("part-*")))
+    for r in store.collect():
+        assert whole[r["offset"] : r["offset"] + r["length"]].decode() == r["record"]
+    ranked = spark.createDataFrame([(1, r, i) for r, i in enumerate([4, 3, 2, 1, 9], 1)], "query_id long, rank int, doc_id long")
+    got = stores.fetched(ranked, store.select("doc_id", "offset", "length"), stores.read_page_store(spark, f"{tmp_path}/pages")).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 4, "", "", "line\nline <b> &lt;"), (1, 4, 1, "l&1", "t", "c")]
+
+
+def test_built_tables_follow_their_files(spark, tmp_path):
+    for text in ("one two", "three"):
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        assert {r["term"] for r in registry.dict_freq(spark, str(tmp_path)).collect()} == set(text.split())
+
+
+def test_close_scores_keep_their_order(spark):
+    """The library ranks by full precision; rounding is for comparing engines."""
+    post = spark.createDataFrame([("a", 1, 1.0000001), ("a", 2, 1.0000002)], "term string, doc_id long, weight double")
+    q = spark.createDataFrame([(1, "a")], "query_id long, text string")
+    order = lambda **o: [r["doc_id"] for r in search.search(q, post, **o).orderBy("rank").collect()]
+    assert (order(), order(digits=6)) == ([2, 1], [1, 2])
+
+
+def test_recommendation_prunes_only_what_is_far(spark):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choices("abcde", k=rng.randint(1, 8))) for _ in range(300)})
+    d = spark.createDataFrame([(i, w, rng.randint(1, 9)) for i, w in enumerate(words, 1)], "line_num long, term string, freq long")
+    q = spark.createDataFrame([(1, "abc"), (2, ""), (3, "dedede"), (4, "zz")], "query_id long, text string")
+    chars = index.sized_char_index(d)
+    near = lambda recalled: sorted(map(tuple, recommend.near_terms(q, recalled, d).collect()))
+    assert near(recommend.recall_near(q, d, chars)) == near(recommend.recall(q, d, chars.select("ch", "line_num"))) != []
 
 
 def test_empty_tables(spark):
