@@ -21,6 +21,8 @@ CJK_STOP = ("和",)
 CJK_SEARCHES = [(1, "人工智能"), (2, "机器学习和模型 GPT"), (3, "翻译"), (4, "图像识别，数据模型语言"), (5, "GPT"), (6, "深度学习应用人工")]
 #: What the queries' words are, as cut.
 CJK_KEYWORDS = [(1, "人工"), (1, "智能"), (2, "机器"), (2, "学习"), (2, "模型"), (2, "GPT"), (3, "翻译"), (4, "图像"), (4, "识别"), (4, "，"), (4, "数据"), (4, "模型"), (4, "语言"), (5, "GPT"), (6, "深度"), (6, "学习"), (6, "应用"), (6, "人工")]
+#: How the texts of the registry are to be cut.
+CJK_CUT = [(1, ["人工智能", "和", "机器学习"]), (2, ["深度学习", " ", "GPT", " ", "应用"]), (3, ["机器翻译"])]
 CJK_WORDS = [(1, "人工智能"), (2, "GPT"), (3, "深度a"), (4, ""), (5, "学"), (6, "龥鿿"), (7, "人 工")]
 
 _STOP = ", ".join(f"('{w}')" for w in C.STOP_WORDS)
@@ -128,6 +130,7 @@ ORACLES = {
     "token_stopword_anti": f"WITH {TOK} SELECT doc_id, term, count(*) AS n FROM tok WHERE term NOT IN (SELECT w FROM (VALUES {_STOP}) s(w)) GROUP BY ALL",
     "cjk_filter": f"WITH w(id, word) AS (VALUES {_values(CJK_WORDS)}) SELECT id, word FROM w WHERE regexp_full_match(word, '[\\x{{4E00}}-\\x{{9FFF}}]+')",
     "char_explode": f"WITH w(id, word) AS (VALUES {_values(CJK_WORDS)}) SELECT id, i AS pos, word[i + 1] AS ch FROM (SELECT *, unnest(range(length(word))) AS i FROM w)",
+    "tokenize_cjk": f"SELECT id::BIGINT AS id, pos::INTEGER AS pos, word FROM (VALUES {', '.join(f"({i}, {n}, '{w}')" for i, words in CJK_CUT for n, w in enumerate(words))}) t(id, pos, word)",
     "rss_items": """SELECT lpad(page_id::VARCHAR, 12, '0') AS path, url AS link, 'T' || page_id AS title, md5(regexp_replace(html, '<[^>]+>', '', 'g')) AS content_md5 FROM pages WHERE page_id % 7 <> 0""",
     "dict_freq": f"WITH {DICT} SELECT term, freq FROM dict",
     "dict_line_num": f"WITH {DICT} SELECT line_num, term FROM dict",

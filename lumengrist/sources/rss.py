@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_tags
+from .shared import exists
 
 log = logging.getLogger(__name__)
 _SCHEMA = "channel struct<item: array<struct<title: string, link: string, content: string, description: string>>>"
@@ -41,8 +42,7 @@ def page_documents(pages: DataFrame) -> DataFrame:
 
 def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
     """(term): the words of a file, separated by white space; none where there is no file."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         log.warning("no stop words at %s", path)
         return spark.sql("SELECT '' AS term WHERE false")
     return spark.read.text(path).select(F.explode(F.split(F.trim("value"), r"\s+")).alias("term")).where("term <> ''").distinct()

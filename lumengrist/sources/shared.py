@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import shutil
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+log = logging.getLogger(__name__)
 _BUILT: dict[tuple, tuple[tuple, DataFrame]] = {}
 _LOCAL: set[str] = set()
 
@@ -52,6 +54,11 @@ def write_shared(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def listing(spark: SparkSession, path: str) -> tuple:
     """Path, size and time of change of each file at or below path."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,6 +74,7 @@ def built(spark: SparkSession, name: str, source: str, build) -> DataFrame:
     files have changed."""
     key, now = (spark.sparkContext.applicationId, name, source), listing(spark, source)
     if key not in _BUILT or _BUILT[key][0] != now:
+        log.info("building %s from %s: %d files", name, source, len(now))
         _BUILT[key] = now, write_shared(build(), name)
     return _BUILT[key][1]
 

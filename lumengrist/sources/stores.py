@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import numbered
+from .shared import exists, numbered
 
+log = logging.getLogger(__name__)
 _END = "</doc>\n"
 #: Where a line of a text file stands among all: file, first byte of its split, and number.
 _PLACE = ("_metadata.file_path AS _file", "_metadata.file_block_start AS _start", "monotonically_increasing_id() AS _line")
@@ -98,6 +101,14 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("term", at(0).cast("long").alias("doc_id"), at(1).cast("double").alias("weight"))
 
 
+def read_document_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(term, doc_id) of an index; without one there are none, and nothing occurs together."""
+    if not exists(spark, path):
+        log.warning("no index at %s: similarity by common documents is off", path)
+        return spark.sql("SELECT '' AS term, 0L AS doc_id WHERE false")
+    return read_index(spark, path).select("term", "doc_id").distinct()
+
+
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(line_num, term, freq)."""
     lines = spark.read.text(path).select(F.split("value", " ").alias("p"))

@@ -220,6 +220,13 @@ def test_offsets_stop_at_a_bad_line(spark, tmp_path):
     assert stores.read_offsets(spark, str(tmp_path)).count() == 2
 
 
+def test_document_sets(spark, tmp_path):
+    assert stores.read_document_sets(spark, f"{tmp_path}/none").count() == 0
+    (tmp_path / "index").write_text("a 1 0.5 2 1e-05\nb 2 -3\n")
+    assert sorted(map(tuple, stores.read_document_sets(spark, f"{tmp_path}/index").collect())) == [("a", 1), ("a", 2), ("b", 2)]
+    assert sorted(map(tuple, stores.read_index(spark, f"{tmp_path}/index").collect())) == [("a", 1, 0.5), ("a", 2, 1e-05), ("b", 2, -3.0)]
+
+
 def test_page_store_and_fetch(spark, tmp_path):
     """What isn't readable at its offset is left out, and nothing moves up."""
     rows = [(1, "l&amp;1", "t", "c"), (2, "", "人", "é\n</doc>\nmore"), (3, "l", "a < b", "c"), (4, "", "", "line\nline &lt;b&gt; &amp;lt;")]
