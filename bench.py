@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from lumengrist.operators import fingerprint, index, recommend  # noqa: E402
 from lumengrist.plans import registry as R  # noqa: E402
 from lumengrist.sources import stores  # noqa: E402
+from lumengrist.sources.shared import write_shared  # noqa: E402
 
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -30,7 +31,8 @@ def noop(df) -> None:
 
 
 def index_build(spark):
-    noop(index.build(R.documents(spark, SF)))
+    docs = R.documents(spark, SF)
+    noop(index.postings(docs, write_shared(index.sized_frequencies(docs), "bench-frequencies")))
 
 
 def dictionary_build(spark):

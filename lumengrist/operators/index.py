@@ -20,6 +20,13 @@ def term_frequencies(tokens_: DataFrame) -> DataFrame:
     return tokens_.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def sized_frequencies(documents: DataFrame, words=ascii_words) -> DataFrame:
+    """(doc_id, doc_len, term, tf): the length comes with each document's words, so that nothing has to be joined for it."""
+    found = documents.select("doc_id", words(F.col("content")).alias("words"))
+    rows = found.select("doc_id", F.size("words").cast("long").alias("doc_len"), F.explode("words").alias("term"))
+    return rows.groupBy("doc_id", "doc_len", "term").agg(F.count("*").alias("tf"))
+
+
 def document_lengths(tf: DataFrame) -> DataFrame:
     return tf.groupBy("doc_id").agg(F.sum("tf").alias("doc_len"))
 
@@ -39,11 +46,12 @@ def idf(n_docs, df):
 
 
 def postings(documents: DataFrame, tf: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, doc_len, df, weight). tf should be a written table. Lengths and frequencies are joined by their keys, the latter
-    from a table, so that adaptive execution can split a term that most documents hold; the statistics are one row."""
-    lengths, df = document_lengths(tf), write_shared(document_frequencies(tf), "frequencies")
-    stats = F.broadcast(corpus_statistics(documents, lengths))  # one row
-    out = tf.join(lengths, "doc_id").join(df, "term").join(stats)
+    """(term, doc_id, tf, doc_len, df, weight). tf should be a written table. Frequencies are joined from a table of their own, so that
+    adaptive execution can split a term that most documents hold, and so are lengths, if tf has none; the statistics are one row."""
+    df = write_shared(document_frequencies(tf), "frequencies")
+    sized = tf if "doc_len" in tf.columns else tf.join(document_lengths(tf), "doc_id")
+    stats = F.broadcast(corpus_statistics(documents, tf.select(F.col("tf").alias("doc_len"))))  # one row
+    out = sized.join(df, "term").join(stats)
     norm = F.col("tf") + F.lit(K1) * (F.lit(1.0) - F.lit(B) + F.lit(B) * F.col("doc_len") / F.col("avgdl"))
     weight = idf(F.col("n_docs"), F.col("df")) * F.col("tf") * F.lit(K1 + 1.0) / norm
     return out.select("term", "doc_id", "tf", "doc_len", "df", weight.alias("weight"))
@@ -52,7 +60,8 @@ def postings(documents: DataFrame, tf: DataFrame) -> DataFrame:
 def build(documents: DataFrame, words=ascii_words, stop_words: DataFrame | None = None) -> DataFrame:
     """Postings of documents, tokenised once; dealt by range of (term, doc_id) and sorted, so that a query's terms prune row groups and no
     term is a single task's."""
-    tf = write_shared(term_frequencies(tokens(documents, words, stop_words)), "frequencies-in-documents")
+    tf = sized_frequencies(documents, words) if stop_words is None else term_frequencies(tokens(documents, words, stop_words))
+    tf = write_shared(tf, "frequencies-in-documents")
     return sorted_postings(documents, tf)
 
 

@@ -42,7 +42,7 @@ def _from_documents(spark, sf_dir, name, build):
 
 
 def tf(spark, sf_dir):
-    return _from_documents(spark, sf_dir, "tf", lambda: index.term_frequencies(index.tokens(documents(spark, sf_dir))))
+    return _from_documents(spark, sf_dir, "tf", lambda: index.sized_frequencies(documents(spark, sf_dir)))
 
 
 def postings(spark, sf_dir):
