@@ -162,6 +162,7 @@ def idf_table(texts: DataFrame, df_bits: int) -> np.ndarray:
             for text in batch.column(0):
                 df[shingles(word_hashes(text.as_py()))[0] >> shift] += 1  # a counter once for each document
                 n += 1
+        _WORDS.clear()  # the worker lives on, for tasks that need the memory
         cells = df.reshape(-1, _CELL)
         seen = np.flatnonzero(cells.any(axis=1)).tolist()
         rows = [(i, zlib.compress(cells[i].tobytes(), 1)) for i in seen] + [(last, zlib.compress(np.full(_CELL, n).tobytes(), 1))]
@@ -221,6 +222,8 @@ def signatures(texts: DataFrame, idf, bands: int, rows: int) -> DataFrame:
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["did", "th", "hi", "lo", "size", "total", "bands"])
+        _WORDS.clear()
+        pa.default_memory_pool().release_unused()
 
     return texts.select("did", "th", "text").mapInArrow(run, _SIGNED)
 

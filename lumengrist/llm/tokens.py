@@ -104,24 +104,31 @@ class Encoder:
         """The ids of one text as little-endian unsigned 32-bit integers."""
         return self._whole([text])[0]
 
-    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
-        """The ids of each text."""
-        if not self.by_words:
-            yield from self._whole(texts.to_pylist())
-            return
-        even = pc.invert(pc.match_substring_regex(texts, self.uneven))
-        marked = pc.replace_substring_regex(texts.filter(even), _MARKED, "\\1 \x01\\2\\3")
+    def _bulk(self, texts: pa.Array) -> tuple[list[int], pa.Buffer]:
+        """The ids of texts with single blanks and line breaks only, all in a row, and where each text's end. Nothing else is held when
+        it returns."""
+        marked = pc.replace_substring_regex(texts, _MARKED, "\\1 \x01\\2\\3")
         cut = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", marked, "\n"), "\n", " \n"), " ")
+        del marked
         words = pc.dictionary_encode(cut.flatten())
         listed = words.dictionary
         full = pc.greater(pc.binary_length(listed), 0)  # the empty one stands before each text's added line break
-        where = np.cumsum(full.to_numpy(zero_copy_only=False)) - 1
+        where = (np.cumsum(full.to_numpy(zero_copy_only=False)) - 1).astype(np.int32)
         ids = pa.concat_arrays([self._lookup(listed.filter(full)), pa.array([b""], pa.binary())])
         where[~full.to_numpy(zero_copy_only=False)] = len(ids) - 1
         every = ids.take(pa.array(where[words.indices.to_numpy()]))
         _, offsets, data = every.buffers()
         at = np.frombuffer(offsets, "<i4")[every.offset : every.offset + len(every) + 1] if len(every) else np.zeros(1, "<i4")
         ends = at[np.frombuffer(cut.buffers()[1], "<i4")[cut.offset : cut.offset + len(cut) + 1] - (cut.offset and cut.offsets[0].as_py())].tolist() if len(cut) else [0]
+        return ends, data
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text."""
+        if not self.by_words:
+            yield from self._whole(texts.to_pylist())
+            return
+        even = pc.and_(pc.invert(pc.match_substring_regex(texts, self.uneven)), pc.less(pc.binary_length(texts), 1 << 26))  # Arrow's offsets have 31 bits
+        ends, data = self._bulk(texts.filter(even))
         skip, i = len(self.line), 0
         for ok, text in zip(even.to_pylist(), texts, strict=True):
             if ok:
@@ -145,7 +152,7 @@ def vocabulary_path(path: str | None) -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, chunk: int = 8 << 20) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, chunk: int = 4 << 20) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids with the end id) of rows (doc_id, text), about `chunk` bytes of text at a time."""
     enc, end = encoder(vocabulary_path(path)), np.array([end_id], "<u4").tobytes()
     for batch in batches:
@@ -156,4 +163,5 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, ch
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chunk)))
             for doc_id, raw in zip(ids[at:to], enc.encode_all(texts.slice(at, to - at)), strict=True):
                 yield doc_id, raw + end
+            pa.default_memory_pool().release_unused()
             at = to
