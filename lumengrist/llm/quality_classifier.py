@@ -10,6 +10,10 @@ coordinate with L1 and L2 penalties (follow-the-regularised-leader), thresholds
 `per_grade` labelled documents of each grade, chosen by hash. A drawn document counts for all those it was drawn from, so that the
 shares of the grades are those of all labels, however many are drawn.
 
+A fifth of the sample is held back to place the cut for selection: documents are kept whose tail probability reaches the value that best
+separates the held-back ones (share kept of those of `keep_grade` or more, less the mean share kept of each lower grade). With few labels of
+a grade, or one that is rare, half is no good cut.
+
 The sample is bounded twice: by `per_grade` documents of each grade, and by `most_entries` features in all (12 bytes each), beyond which
 fewer documents of all grades are taken, by the same hash.
 
@@ -122,12 +126,25 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def best_cut(tails: np.ndarray, grades: np.ndarray, keep_grade: int) -> float:
+    """The cut that best separates keep_grade and more from each lower grade; of equally good ones the middle of the widest gap; half
+    where either side has no document."""
+    sides = [np.sort(tails[grades >= keep_grade])] + [np.sort(tails[grades == g]) for g in np.unique(grades[grades < keep_grade])]
+    if len(sides) < 2 or not len(sides[0]):
+        return 0.5
+    edges = np.unique(np.concatenate([[0.0], tails, [1.0]]))
+    cuts, gaps = (edges[1:] + edges[:-1]) / 2, np.diff(edges)
+    kept = [1 - np.searchsorted(s, cuts) / len(s) for s in sides]
+    gain = np.round(kept[0] - np.mean(kept[1:], axis=0), 9)
+    return float(cuts[np.lexsort((gaps, gain))[-1]])
+
+
 class Model:
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds, self.known = weights, thresholds, {}
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, cut: float = 0.5):
+        self.weights, self.thresholds, self.cut, self.known = weights, thresholds, cut, {}
 
     def __getstate__(self):
-        return {"weights": self.weights, "thresholds": self.thresholds, "known": {}}
+        return {"weights": self.weights, "thresholds": self.thresholds, "cut": self.cut, "known": {}}
 
     def quality(self, text: str) -> float | None:
         present, kinds = features(text)
@@ -184,8 +201,8 @@ def train(samples: list[tuple[int, np.ndarray, np.ndarray]], stands_for: np.ndar
     return Model(weights(slice(None)), thresholds)
 
 
-def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, most_entries: int = 16 << 20, min_documents: int = 5, epochs: int = 10, alpha: float = 1.0, l1: float = 4.0, l2: float = 0.05, step: float = 0.02, seed: int = 11) -> Model | None:
-    """docs (doc_id, text), graded (doc_id, grade 0, 1, ...). None without labels."""
+def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, most_entries: int = 16 << 20, min_documents: int = 5, epochs: int = 10, alpha: float = 1.0, l1: float = 4.0, l2: float = 0.05, step: float = 0.02, seed: int = 11, keep_grade: int = 2) -> Model | None:
+    """docs (doc_id, text), graded (doc_id, grade 0, 1, ...). None without labels. The cut of the model is for keep_grade."""
     graded = graded.where("grade IS NOT NULL AND doc_id IS NOT NULL")
     sizes = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}  # a row for each grade
     if not sizes:
@@ -203,19 +220,28 @@ def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, most_entrie
     if total > most_entries:
         rows = rows.where(draw < share * (most_entries / total))
         stands_for = stands_for * (total / most_entries)
-    samples = [(r["grade"], np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["x"], float)) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["grade"], r["at"], r["x"]))]  # most_entries features at most
+    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["grade"], r["at"], r["x"]))  # most_entries features at most
+    samples = [(r["grade"], np.frombuffer(r["at"], "<u4").astype(np.int64), np.frombuffer(r["x"], float)) for r in rows]
     if not samples:
         return None
+    back = np.array([zlib.crc32(f"{seed}:{r['doc_id']}".encode()) % 5 == 0 for r in rows])
+    if back.all():
+        back[:] = False
     held, n = document_frequency(docs)
     scale = np.where(held >= min_documents, np.log(n / np.maximum(held, 1)) / max(math.log(n), 1e-9), 0.0)
     scale[[_slot("\0" + k) for k in ("upper", "repeat")]] = 1.0
     samples = [(y, at[scale[at] > 0], (x * scale[at])[scale[at] > 0]) for y, at, x in samples]  # what few hold can only be learnt by heart
-    model = train(samples, stands_for, epochs, alpha, l1, l2, step, seed)
-    return Model(model.weights * scale, model.thresholds)
+    model = train([s for s, held_back in zip(samples, back, strict=True) if not held_back], stands_for, epochs, alpha, l1, l2, step, seed)
+    cut = 0.5
+    if 1 <= keep_grade <= len(model.thresholds):
+        own = [(y, x @ model.weights[at]) for (y, at, x), held_back in zip(samples, back, strict=True) if held_back]
+        cut = best_cut(_logistic(np.array([q for _, q in own]) - model.thresholds[keep_grade - 1]), np.array([y for y, _ in own], int), keep_grade)
+    return Model(model.weights * scale, model.thresholds, cut)
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_grade: int = 2, keep_at: float = 0.5) -> DataFrame:
-    """docs with expected_grade, tail_probability (of keep_grade or more) and kept, in place of columns of these names."""
+def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_grade: int = 2, keep_at: float | None = None) -> DataFrame:
+    """docs with expected_grade, tail_probability (of keep_grade or more) and kept, in place of columns of these names. keep_at: by
+    default the model's cut."""
     own = [field(c).alias(c) for c in docs.columns if c not in ("expected_grade", "tail_probability", "kept")]
     if model is None:
         nothing = F.lit(None).cast("double")
@@ -230,7 +256,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", keep_gra
         return pd.DataFrame({"grade": [sum(t) for t in tails], "tail": [1.0 if keep_grade < 1 else t[keep_grade - 1] if keep_grade <= len(t) else 0.0 for t in tails]})
 
     scored = boxed(docs, g=grade(text_col))
-    return scored.select(*own, F.col("g.grade").alias("expected_grade"), F.col("g.tail").alias("tail_probability"), (F.col("g.tail") >= keep_at).alias("kept"))
+    return scored.select(*own, F.col("g.grade").alias("expected_grade"), F.col("g.tail").alias("tail_probability"), (F.col("g.tail") >= (model.cut if keep_at is None else keep_at)).alias("kept"))
 
 
 def grades_of_labels(labels: DataFrame) -> DataFrame:
