@@ -10,7 +10,7 @@ coordinate with L1 and L2 penalties (follow-the-regularised-leader), thresholds
 `per_grade` labelled documents of each grade, chosen by hash. A drawn document counts for all those it was drawn from, so that the
 shares of the grades are those of all labels, however many are drawn.
 
-A fifth of the sample is held back to place the cut for selection: documents are kept whose tail probability reaches the value that best
+A fifth of the sample is held back from a first fit, to place the cut for selection (the second fit takes all): documents are kept whose tail probability reaches the value that best
 separates the held-back ones (share kept of those of `keep_grade` or more, less the mean share kept of each lower grade). With few labels of
 a grade, or one that is rare, half is no good cut.
 
@@ -231,11 +231,12 @@ def learn(docs: DataFrame, graded: DataFrame, per_grade: int = 4000, most_entrie
     scale = np.where(held >= min_documents, np.log(n / np.maximum(held, 1)) / max(math.log(n), 1e-9), 0.0)
     scale[[_slot("\0" + k) for k in ("upper", "repeat")]] = 1.0
     samples = [(y, at[scale[at] > 0], (x * scale[at])[scale[at] > 0]) for y, at, x in samples]  # what few hold can only be learnt by heart
-    model = train([s for s, held_back in zip(samples, back, strict=True) if not held_back], stands_for, epochs, alpha, l1, l2, step, seed)
     cut = 0.5
-    if 1 <= keep_grade <= len(model.thresholds):
-        own = [(y, x @ model.weights[at]) for (y, at, x), held_back in zip(samples, back, strict=True) if held_back]
-        cut = best_cut(_logistic(np.array([q for _, q in own]) - model.thresholds[keep_grade - 1]), np.array([y for y, _ in own], int), keep_grade)
+    if 1 <= keep_grade < len(stands_for):
+        first = train([s for s, held_back in zip(samples, back, strict=True) if not held_back], stands_for, epochs, alpha, l1, l2, step, seed)
+        own = [(y, x @ first.weights[at]) for (y, at, x), held_back in zip(samples, back, strict=True) if held_back]
+        cut = best_cut(_logistic(np.array([q for _, q in own]) - first.thresholds[keep_grade - 1]), np.array([y for y, _ in own], int), keep_grade)
+    model = train(samples, stands_for, epochs, alpha, l1, l2, step, seed)
     return Model(model.weights * scale, model.thresholds, cut)
 
 
