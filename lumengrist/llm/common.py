@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import write_shared
 
-__all__ = ["BLANKS", "NO_ID", "ascii_lower", "boxed", "field", "flagged", "load", "maybe_member", "shuffle_partitions", "unboxed", "write_shared"]
+__all__ = ["BLANKS", "NO_ID", "ascii_lower", "boxed", "field", "flagged", "give_back", "load", "maybe_member", "shuffle_partitions", "unboxed", "write_shared"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The bytes that the contracts count as white space.
@@ -19,6 +23,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system, as it lives on beside others; called at the end of tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

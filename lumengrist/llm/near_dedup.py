@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, boxed, flagged, load, maybe_member, shuffle_partitions, unboxed, write_shared
+from .common import NO_ID, boxed, flagged, give_back, load, maybe_member, shuffle_partitions, unboxed, write_shared
 
 WORDS = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
@@ -168,6 +168,7 @@ def idf_table(texts: DataFrame, df_bits: int) -> np.ndarray:
         rows = [(i, zlib.compress(cells[i].tobytes(), 1)) for i in seen] + [(last, zlib.compress(np.full(_CELL, n).tobytes(), 1))]
         for at in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[at : at + 64]], pa.int32()), pa.array([r[1] for r in rows[at : at + 64]], pa.binary())], ["cell", "counts"])
+        give_back()
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -223,7 +224,7 @@ def signatures(texts: DataFrame, idf, bands: int, rows: int) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(out, types, strict=True)]], ["did", "th", "hi", "lo", "size", "total", "bands"])
         _WORDS.clear()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return texts.select("did", "th", "text").mapInArrow(run, _SIGNED)
 

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 VOCABULARY = "byte_bpe_50k.json"
 #: For RE2, in which \\s is ASCII: white space other than blank and line break, or any at an end or beside another; the separator used
 #: below; or no text.
@@ -165,3 +167,4 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str | None, end_id: int, ch
                 yield doc_id, raw + end
             pa.default_memory_pool().release_unused()
             at = to
+    give_back()
