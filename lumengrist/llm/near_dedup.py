@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, boxed, flagged, give_back, load, maybe_member, shuffle_partitions, unboxed, write_shared
+from .common import NO_ID, boxed, flagged, load, maybe_member, shuffle_partitions, unboxed, write_shared
+from .workers import give_back
 
 WORDS = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8

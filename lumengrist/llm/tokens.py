@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import give_back
+from .workers import give_back
 
 VOCABULARY = "byte_bpe_50k.json"
 #: For RE2, in which \\s is ASCII: white space other than blank and line break, or any at an end or beside another; the separator used
