@@ -21,6 +21,15 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = [(i, "w " * (i % 7), f"s{i % 4}" if i % 5 else None) for i in range(200)] + [(500, None, "s0"), (501, "big " * 900, "s1"), (501, "big " * 900, "s1"), (None, "no id here", "s2"), (None, "", "only")]
 
 
+def test_words_are_counted_without_a_list(spark):
+    """Any blanks, odd ones and several in a row; no text becomes an array of its words."""
+    texts = [None, "", " ", "\n\r", "a", " a", "a ", "a b\nc", "a\tb\x0bc\x0cd\re", "a \n b", "\x1f a\xa0b \u2003 é\U0001f600\n\n", "a  b   c\t\t"]
+    texts += ["".join(np.random.default_rng(i).choice(list(" \t\n\x0b\x0c\rab\x85é"), 40)) for i in range(200)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", mixing.words_in(F.col("t")).alias("n"))
+    assert [r["n"] for r in got.orderBy("i").collect()] == [len(WORDS.findall(t or "")) for t in texts]
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def mix_table(spark, rows):
     return spark.createDataFrame([(i, t, s, 1.0, 2) for i, t, s in rows], "doc_id long, text string, source string, target double, size int").repartition(3)
 

@@ -147,3 +147,14 @@ def test_nulls(spark, tmp_path):
     assert set(got.doc_id) == {1}
     assert sorted(got.doc_tokens) == sorted(tokens)
     assert got.length.sum() == sum(tokens)
+
+
+def test_reads_leave_no_buffers(spark, tmp_path):
+    """A column chunk of 24 MB that a stage reads leaves no buffer of its size outside the heap."""
+    rng = random.Random(6)
+    docs = [(i, rng.randbytes(1 << 10).hex(), "en", "s0", 2 << 10) for i in range(12 << 10)]
+    spark.createDataFrame(docs, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    direct = getattr(spark._jvm, "org.apache.spark.metrics.DirectPoolMemory$").__getattr__("MODULE$")
+    before = direct.getMetricValue(None)
+    assert corpus_pipeline.mixed(spark, load(spark, str(tmp_path), "documents"), "").agg(F.sum(F.length("text"))).first()[0] > 24 << 20
+    assert direct.getMetricValue(None) - before < 8 << 20
