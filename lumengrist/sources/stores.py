@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,8 @@ from .shared import exists, numbered
 
 log = logging.getLogger(__name__)
 _END = "</doc>\n"
+#: Bytes of an index's lines that are cut at once, or one line.
+_BLOCK = 16 << 20
 #: Where a line of a text file stands among all: file, first byte of its split, and number.
 _PLACE = ("_metadata.file_path AS _file", "_metadata.file_block_start AS _start", "monotonically_increasing_id() AS _line")
 
@@ -71,11 +77,39 @@ def significant(weight: Column) -> Column:
     return F.when(power.between(-4, 5), fixed).otherwise(F.concat(bare(F.substring_index(digits, "e", 1)), F.lit("e"), F.substring_index(digits, "e", -1)))
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, text, terms, lines, size = None, [], [], [], 0  # what is at hand of a term is one string for each batch
+
+    def ended() -> int:
+        terms.append(now)
+        lines.append(now + "".join(text))
+        return len(lines[-1])
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(lines, pa.string())], ["term", "line"])
+
+    for b in batches:
+        held, ids, weights = (c.to_pylist() for c in b.columns)
+        pairs = [f" {d} {w:g}" for d, w in zip(ids, weights, strict=True)]
+        starts = [i for i, t in enumerate(held) if not i or t != held[i - 1]]
+        for i, j in zip(starts, [*starts[1:], len(held)], strict=True):
+            if held[i] != now:
+                if now is not None:
+                    size += ended()
+                    if size > 1 << 20 or len(lines) == 10_000:
+                        yield out()
+                        terms, lines, size = [], [], 0
+                now, text = held[i], []
+            text.append("".join(pairs[i:j]))
+    if now is not None:
+        ended()
+        yield out()
+
+
 def index_lines(postings: DataFrame) -> DataFrame:
-    """(term, line): `term id weight id weight ...`, ids ascending."""
-    pair = F.concat_ws(" ", F.col("doc_id").cast("string"), significant(F.col("weight")))
-    lists = postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", pair.alias("pair")))).alias("pairs"))
-    return lists.select("term", F.concat(F.col("term"), F.lit(" "), F.array_join("pairs.pair", " ")).alias("line"))
+    """(term, line): `term id weight id weight ...`, ids ascending, of postings whose terms are each in one partition, in id order. Weights
+    are as text streams print them (significant())."""
+    return postings.select("term", "doc_id", "weight").mapInArrow(_lines, "term string, line string")
 
 
 def dictionary_lines(dictionary: DataFrame) -> DataFrame:
@@ -93,12 +127,27 @@ def write_lines(lines: DataFrame, order: list[str], path: str, column: str = "li
     lines.repartitionByRange(*order).sortWithinPartitions(*order).select(column).write.text(path)
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        ends = np.cumsum(pc.binary_length(whole.column(0)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(whole):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BLOCK)))
+            words = pc.split_pattern(whole.column(0).slice(at, to - at), " ")
+            first, at = words.offsets.to_numpy()[:-1], to
+            n = (words.value_lengths().to_numpy(zero_copy_only=False) - 1) // 2  # pairs of each line
+            upto, values = np.cumsum(n), words.values
+            for start in range(0, int(upto[-1]), 1 << 16):
+                k = np.arange(start, min(start + (1 << 16), upto[-1]))
+                line = np.searchsorted(upto, k, side="right")
+                place = first[line] + 1 + 2 * (k - (upto - n)[line])
+                yield pa.RecordBatch.from_arrays([values.take(pa.array(x)) for x in (first[line], place, place + 1)], ["term", "doc_id", "weight"])
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(term, doc_id, weight)."""
-    parts = spark.read.text(path).select(F.split("value", " ").alias("p"))
-    pairs = parts.select(F.col("p")[0].alias("term"), F.explode(F.expr("sequence(1, int((size(p) - 1) div 2))")).alias("i"), "p")
-    at = lambda k: F.element_at("p", (F.col("i") * 2 + k).cast("int"))
-    return pairs.select("term", at(0).cast("long").alias("doc_id"), at(1).cast("double").alias("weight"))
+    """(term, doc_id, weight). The work for a line grows with its length."""
+    pairs = spark.read.text(path).mapInArrow(_pairs, "term string, doc_id string, weight string")
+    return pairs.select("term", F.col("doc_id").cast("long").alias("doc_id"), F.col("weight").cast("double").alias("weight"))
 
 
 def read_document_sets(spark: SparkSession, path: str) -> DataFrame:
