@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import exists, numbered
+from .shared import exists, numbered, write_shared
 
 log = logging.getLogger(__name__)
 _END = "</doc>\n"
@@ -62,8 +62,10 @@ def parsed_record(record: Column) -> Column:
 
 
 def fetched(ranked: DataFrame, offsets: DataFrame, store: DataFrame) -> DataFrame:
-    """ranked (doc_id, ...) with link, title and content read at (offset, length). What isn't readable there is left out, and nothing moves up."""
-    at = ranked.join(offsets, "doc_id").join(store, ["offset", "length"]).drop("offset", "length")
+    """ranked (doc_id, ...) with link, title and content read at (offset, length). What isn't readable there is left out, and nothing moves up.
+    The places are written, so that their size is known and records don't move for a few."""
+    places = write_shared(ranked.join(offsets, "doc_id"), "places")
+    at = places.join(store, ["offset", "length"]).drop("offset", "length")
     return at.withColumn("_page", parsed_record(F.col("record"))).where("_page IS NOT NULL").select(*ranked.columns, "_page.link", "_page.title", "_page.content")
 
 
