@@ -23,7 +23,7 @@ def answer(spark: SparkSession, sf_dir: str, kind: int, text: str) -> str:
     q = spark.createDataFrame([(1, text)], "query_id long, text string")
     if kind == 0:
         d = R.dictionary(spark, sf_dir)
-        rows = codec.words_json(recommend.recommend(q, d, R.char_index(spark, sf_dir), R.postings(spark, sf_dir), stores.max_frequency(d)))
+        rows = codec.words_json(recommend.recommend(q, d, R.char_index(spark, sf_dir), R.counts(spark, sf_dir), stores.max_frequency(d), sizes=R.frequencies(spark, sf_dir)))
     else:
         rows = codec.pages_json(R.answers(q, spark, sf_dir))
     row = rows.first()

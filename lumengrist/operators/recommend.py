@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..constants import EDIT_WEIGHT, FREQUENCY_WEIGHT, JACCARD_WEIGHT, MAX_DISTANCE, SUGGESTIONS
 from ..functions.text import characters
-from ..sources.shared import write_shared
+from ..sources.shared import few_values, write_shared
 
 
 def recall_by_characters(queries: DataFrame, char_index: DataFrame) -> DataFrame:
@@ -54,23 +54,44 @@ def near_terms(queries: DataFrame, recalled: DataFrame, dictionary: DataFrame) -
     return c.select("query_id", "query", "term", "freq", "distance")
 
 
-def jaccard(candidates: DataFrame, postings: DataFrame) -> DataFrame:
+def jaccard(candidates: DataFrame, postings: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """candidates (query_id, query, term) with jaccard, of the documents that hold query and term; 0 where either has none.
 
-    Postings of the candidates' terms only are joined, by document; sets are counted, never gathered.
+    postings (term, doc_id), or counts of documents (doc_id, counts). Of postings only those of the candidates' terms are joined, by document;
+    counts move nothing: what a document has in common with a query is added up where it is read. sizes: (term, df), if known.
     """
     own = candidates.select("query_id", "query", "term").distinct()
-    p = postings.select("term", "doc_id")
-    wanted = p.join(own.select("term").union(own.select("query")).distinct(), "term", "left_semi")
-    size = wanted.groupBy("term").agg(F.count("*").alias("n"))
-    of_query = own.select("query").distinct().join(wanted.withColumnRenamed("term", "query"), "query")
-    common = own.join(wanted, "term").join(of_query, ["query", "doc_id"]).groupBy("query_id", "query", "term").agg(F.count("*").alias("common"))
+    terms = own.select("term").union(own.select("query")).distinct()
+    if "counts" in postings.columns:
+        held = holding(postings, own.select("query").distinct(), "query").select("query", F.explode("counts.term").alias("term"))
+        common = held.join(own, ["query", "term"])
+        sizes = postings.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")) if sizes is None else sizes
+        size = sizes.join(terms, "term", "left_semi").select("term", F.col("df").alias("n"))
+    else:
+        wanted = postings.select("term", "doc_id").join(terms, "term", "left_semi")
+        size = wanted.groupBy("term").agg(F.count("*").alias("n"))
+        of_query = own.select("query").distinct().join(wanted.withColumnRenamed("term", "query"), "query")
+        common = own.join(wanted, "term").join(of_query, ["query", "doc_id"])
+    common = common.groupBy("query_id", "query", "term").agg(F.count("*").alias("common"))
     out = own.join(size, "term", "left").join(size.select(F.col("term").alias("query"), F.col("n").alias("nq")), "query", "left").join(common, ["query_id", "query", "term"], "left")
     both = F.coalesce("common", F.lit(0))
     value = F.when(F.col("n").isNull() | F.col("nq").isNull(), F.lit(0.0)).otherwise(both / (F.col("n") + F.col("nq") - both))
     return out.select("query_id", "query", "term", value.alias("jaccard"))
 
 
+def holding(counted: DataFrame, asked: DataFrame, column: str) -> DataFrame:
+    """(column, doc_id, counts): a row for each document and each value of the column `column` of asked that it holds as a term. A few values
+    are looked up in the row; of more, documents are found by their terms first."""
+    few = few_values(asked, column)
+    if few is None:
+        found = counted.select("doc_id", F.explode("counts.term").alias(column)).join(asked.select(column).distinct(), column)
+        return found.join(counted.select("doc_id", "counts"), "doc_id").select(column, "doc_id", "counts")
+    if not few:
+        return counted.select(F.lit(None).cast("string").alias(column), "doc_id", "counts").where("false")
+    held = F.filter(F.array(*map(F.lit, few)), lambda x: F.array_contains(F.col("counts.term"), x))
+    return counted.select(F.explode(held).alias(column), "doc_id", "counts")
+
+
 def edit_similarity(distance, query, term):
     longest = F.greatest(F.char_length(query), F.char_length(term))
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.lit(1.0) - distance / longest)
@@ -80,10 +101,10 @@ def frequency_score(freq, most):
     return F.log2(F.lit(1.0) + freq) / F.log2(F.lit(1.0) + most)
 
 
-def scored(candidates: DataFrame, postings: DataFrame, most: DataFrame, digits: int | None = None) -> DataFrame:
+def scored(candidates: DataFrame, postings: DataFrame, most: DataFrame, digits: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(query_id, term, jaccard, edit_sim, freq_score, score) of near terms, which should be a written table. most: one row (max_freq).
-    With `digits`, all are rounded."""
-    j = jaccard(candidates, postings)
+    postings and sizes as of jaccard(). With `digits`, all are rounded."""
+    j = jaccard(candidates, postings, sizes)
     c = candidates.join(j, ["query_id", "query", "term"]).join(F.broadcast(most))  # one row
     edit = edit_similarity(F.col("distance"), F.col("query"), F.col("term"))
     freq = frequency_score(F.col("freq"), F.col("max_freq"))
@@ -98,15 +119,21 @@ def top_terms(scored_: DataFrame, k: int = SUGGESTIONS) -> DataFrame:
     return scored_.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "term", "score")
 
 
-def recommend(queries: DataFrame, dictionary: DataFrame, char_index: DataFrame, postings: DataFrame, most: DataFrame, k: int = SUGGESTIONS, digits: int | None = None) -> DataFrame:
-    """(query_id, rank, term, score). char_index (ch, line_num, size)."""
+def recommend(queries: DataFrame, dictionary: DataFrame, char_index: DataFrame, postings: DataFrame, most: DataFrame, k: int = SUGGESTIONS, digits: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, term, score). char_index (ch, line_num, size); postings and sizes as of jaccard()."""
     near = write_shared(near_terms(queries, recall_near(queries, dictionary, char_index), dictionary), "near-terms")
-    return top_terms(scored(near, postings, most, digits), k)
+    return top_terms(scored(near, postings, most, digits, sizes), k)
 
 
 def recall_by_cooccurrence(queries: DataFrame, postings: DataFrame, k: int = SUGGESTIONS) -> DataFrame:
-    """Extension: (query_id, rank, term, common) of the terms that share most documents with the query; ties in byte order."""
-    docs = queries.join(postings.select(F.col("term").alias("text"), "doc_id"), "text").select("query_id", "text", "doc_id")
-    hits = docs.join(postings.select("doc_id", "term"), "doc_id").where("term <> text").groupBy("query_id", "term").agg(F.count("*").alias("common"))
+    """Extension: (query_id, rank, term, common) of the terms that share most documents with the query; ties in byte order. postings as of
+    jaccard()."""
+    if "counts" in postings.columns:
+        held = holding(postings, queries, "text").select("text", F.explode("counts.term").alias("term")).where("term <> text")
+        common = held.groupBy("text", "term").agg(F.count("*").alias("common"))
+        hits = queries.join(common, "text").groupBy("query_id", "term").agg(F.sum("common").alias("common"))
+    else:
+        docs = queries.join(postings.select(F.col("term").alias("text"), "doc_id"), "text").select("query_id", "text", "doc_id")
+        hits = docs.join(postings.select("doc_id", "term"), "doc_id").where("term <> text").groupBy("query_id", "term").agg(F.count("*").alias("common"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("common"), "term"))
     return hits.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "term", "common")

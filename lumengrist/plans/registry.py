@@ -373,11 +373,11 @@ def edit_prune(spark, sf_dir):
 
 
 def jaccard_docs(spark, sf_dir):
-    return recommend.jaccard(_near(spark, sf_dir), postings(spark, sf_dir)).select("query_id", "term", F.round("jaccard", DIGITS).alias("jaccard"))
+    return recommend.jaccard(_near(spark, sf_dir), counts(spark, sf_dir), frequencies(spark, sf_dir)).select("query_id", "term", F.round("jaccard", DIGITS).alias("jaccard"))
 
 
 def _scored(spark, sf_dir):
-    return recommend.scored(_near(spark, sf_dir), postings(spark, sf_dir), stores.max_frequency(dictionary(spark, sf_dir)), DIGITS)
+    return recommend.scored(_near(spark, sf_dir), counts(spark, sf_dir), stores.max_frequency(dictionary(spark, sf_dir)), DIGITS, frequencies(spark, sf_dir))
 
 
 def freq_score(spark, sf_dir):
@@ -441,7 +441,7 @@ def stream_search(spark, sf_dir):
 
 
 def ext_cooccur_recall(spark, sf_dir):
-    return recommend.recall_by_cooccurrence(asked(spark), postings(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "term", "common")
+    return recommend.recall_by_cooccurrence(asked(spark), counts(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "term", "common")
 
 
 def ext_search_pages_multilang(spark, sf_dir):
@@ -461,7 +461,7 @@ def stream_dispatch(spark, sf_dir):
     cut = whole.withColumn("seq", F.explode(F.expr("sequence(0L, (octet_length(data) - 1) div 7)")))
     chunks = write_shared(cut.select("conn_id", "seq", F.expr("substring(data, int(seq * 7 + 1), 7)").alias("data")).orderBy(F.desc("seq")), "chunks")
     source = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(chunks.inputFiles()[0].rsplit("/", 1)[0])
-    suggest = lambda q: recommend.recommend(q, dictionary(spark, sf_dir), char_index(spark, sf_dir), postings(spark, sf_dir), stores.max_frequency(dictionary(spark, sf_dir)), digits=DIGITS)
+    suggest = lambda q: recommend.recommend(q, dictionary(spark, sf_dir), char_index(spark, sf_dir), counts(spark, sf_dir), stores.max_frequency(dictionary(spark, sf_dir)), digits=DIGITS, sizes=frequencies(spark, sf_dir))
     reply = lambda got: codec.replies(codec.requests(got), suggest, lambda q: answers(q, spark, sf_dir, DIGITS))
     return service.answer_all(service.messages(source), reply, _folder(spark, "replies"), _folder(spark, "replies-checkpoint")).select("conn_id", "no", F.hex("frame").alias("frame"))
 

@@ -92,6 +92,18 @@ def built(spark: SparkSession, name: str, source: str, build) -> DataFrame:
     return _BUILT[key][1]
 
 
+def few_values(df: DataFrame, column: str, most: int = 1000) -> list | None:
+    """The different values of a column other than null, if there are `most` at most."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    return None if len(rows) > most else sorted(r[0] for r in rows)
+
+
+def narrowed(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """df, without rows whose value isn't in that column of wanted, if there are few such values: what is sorted by them is read in part."""
+    few = few_values(wanted, column)
+    return df if few is None else df.where(F.col(column).isin(few)) if few else df.where("false")
+
+
 def numbered(df: DataFrame, order: list[str], number: str = "line_num", running: Column | None = None) -> DataFrame:
     """Adds a gapless 1-based number in the order of unique columns, or, with running, the sum of that expression over all rows before.
 
