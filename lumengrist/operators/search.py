@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..constants import RELAXED_PERCENT, TOP_K
 from ..functions.text import ascii_words, is_blank, without_stop_words
+from ..sources.shared import narrowed, write_shared
 
 
 def query_keywords(queries: DataFrame, words=ascii_words, stop_words: DataFrame | None = None) -> DataFrame:
@@ -19,14 +20,17 @@ def query_keywords(queries: DataFrame, words=ascii_words, stop_words: DataFrame
 
 def known_counts(keywords: DataFrame, postings: DataFrame) -> DataFrame:
     """(query_id, n_known): keywords that the index holds. The vocabulary is cut to the queries' terms before it is made distinct."""
-    return keywords.join(postings.select("term"), "term", "left_semi").groupBy("query_id").agg(F.count("*").alias("n_known"))
+    return keywords.join(narrowed(postings.select("term"), "term", keywords).distinct(), "term", "left_semi").groupBy("query_id").agg(F.count("*").alias("n_known"))
 
 
 def scores(keywords: DataFrame, postings: DataFrame, digits: int | None = None) -> DataFrame:
-    """(query_id, doc_id, matches, score) of all documents with a keyword. With `digits`, scores are rounded before anything ranks them,
+    """(query_id, doc_id, matches, score) of all documents with a keyword. Of sorted postings only pages with the keywords are read; documents
+    are dealt over all cores before anything is added up, so that no task adds up what a file has of a common term. With `digits`, scores are rounded before anything ranks them,
     so that engines which add up in another order agree."""
-    hits = keywords.join(postings.select("term", "doc_id", "weight"), "term")
+    hits = keywords.join(narrowed(postings.select("term", "doc_id", "weight"), "term", keywords), "term")
     total = F.sum("weight")
+    spark = hits.sparkSession
+    hits = hits.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "query_id", "doc_id")
     return hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("matches"), (total if digits is None else F.round(total, digits)).alias("score"))
 
 
@@ -55,10 +59,12 @@ def ranked(scored: DataFrame, required: DataFrame, top: int = TOP_K) -> DataFram
 def search(queries: DataFrame, postings: DataFrame, words=ascii_words, stop_words: DataFrame | None = None, top: int = TOP_K, digits: int | None = None) -> DataFrame:
     """Queries without a known keyword have no rows."""
     keywords = query_keywords(queries, words, stop_words)
-    scored = scores(keywords, postings, digits)
+    scored = write_shared(scores(keywords, postings, digits), "scores")
     return ranked(scored, required_matches(scored, known_counts(keywords, postings), top), top)
 
 
 def fetched(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """Adds link, title and content to ranked rows: bodies are joined after the ranking only."""
-    return found.join(documents.select("doc_id", "link", "title", "content"), "doc_id")
+    """Adds link, title and content to ranked rows: bodies are joined after the ranking only, which is written, so that its size is known and
+    bodies don't move for it, and of few documents only theirs are read."""
+    found = write_shared(found, "found")
+    return write_shared(found.join(narrowed(documents.select("doc_id", "link", "title", "content"), "doc_id", found), "doc_id"), "bodies")
